@@ -84,8 +84,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         down = large.select(F.greatest(a, b).alias("src"), F.least(a, b).alias("dst"))
         low = down.groupBy("src").agg(F.min("dst").alias("m"))
         new = materialize(
-            down.join(low, "src").select(F.explode(F.array(F.struct("dst", "m"), F.struct("src", "m"))).alias("e"))
-            .select(F.col("e.dst").alias("src"), F.col("e.m").alias("dst"))
+            down.join(low, "src").select(F.explode(F.array("src", "dst")).alias("src"), F.col("m").alias("dst"))
             .filter(a != b).distinct()
         )
         sums = [

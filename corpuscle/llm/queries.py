@@ -5,24 +5,39 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from corpuscle.llm import bpe, urlfilter
+from corpuscle.llm import bpe, decontam, simhash, urlfilter
 from corpuscle.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated"
+    )
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe.encode(docs, digests_only=True).drop("text")
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(table(spark, sf_dir, "pages"))
 
 
 QUERIES: dict[str, Query] = {
+    "op2_decontamination": op2_decontamination,
     "op4_bpe": op4_bpe,
+    "op5_simhash": op5_simhash,
     "op10_url_filter": op10_url_filter,
 }
 
@@ -56,4 +71,36 @@ SELECT page_id, host, path, rule,
 FROM named
 """
 
-SQL: dict[str, str] = {"op10_url_filter": URL_SQL}
+DECONTAMINATION_SQL = """
+WITH words AS (
+  SELECT 'd' AS side, doc_id AS id, regexp_extract_all(translate(coalesce(text, ''),
+         'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents
+  UNION ALL
+  SELECT 'b', item_id, regexp_extract_all(translate(coalesce(text, ''),
+         'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') FROM benchmark
+), items AS (
+  SELECT id AS item_id, least(len(w), 13) AS m, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS i, w
+  FROM words WHERE side = 'b' AND len(w) > 0
+), wins AS (
+  SELECT DISTINCT item_id, m, w[i : i + m - 1] AS win FROM items
+), sizes AS (SELECT DISTINCT m FROM wins
+), grams AS (
+  SELECT id, m, w, unnest(range(1, len(w) - m + 2)) AS i FROM words, sizes WHERE side = 'd' AND len(w) >= m
+), hit AS (
+  SELECT g.id, g.i, g.m, wins.item_id FROM grams g JOIN wins ON wins.m = g.m AND wins.win = g.w[g.i : g.i + g.m - 1]
+), covered AS (
+  SELECT id, count(DISTINCT p) AS n_hit FROM (SELECT id, unnest(range(i, i + m)) AS p FROM hit) GROUP BY id
+), named AS (
+  SELECT id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS s
+  FROM (SELECT DISTINCT id, CAST(item_id AS VARCHAR) AS s FROM hit) GROUP BY id
+)
+SELECT w.id AS doc_id, CAST(len(w.w) AS BIGINT) AS n_words, coalesce(c.n_hit, 0) AS n_hit, coalesce(n.n_items, 0) AS n_items,
+       sha256(coalesce(n.s, '')) AS items_sha256,
+       coalesce(c.n_hit, 0) > 0 AND 20 * coalesce(c.n_hit, 0) >= len(w.w) AS contaminated
+FROM words w LEFT JOIN covered c ON c.id = w.id LEFT JOIN named n ON n.id = w.id WHERE w.side = 'd'
+"""
+
+SQL: dict[str, str] = {
+    "op2_decontamination": DECONTAMINATION_SQL,
+    "op10_url_filter": URL_SQL,
+}
