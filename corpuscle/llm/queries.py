@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuscle.llm import bpe, decontam, secrets, simhash, suffixdedup, toxicity, urlfilter
+from corpuscle.llm import bpe, debruijn, decontam, secrets, simhash, suffixdedup, toxicity, urlfilter
 from corpuscle.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,6 +45,10 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
+def op9_debruijn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return debruijn.deduplicate(table(spark, sf_dir, "documents"))
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(table(spark, sf_dir, "pages"))
 
@@ -56,6 +60,7 @@ QUERIES: dict[str, Query] = {
     "op5_simhash": op5_simhash,
     "op7_suffix_dedup": op7_suffix_dedup,
     "op8_secrets": op8_secrets,
+    "op9_debruijn": op9_debruijn,
     "op10_url_filter": op10_url_filter,
 }
 
