@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuscle.llm import bpe, debruijn, decontam, secrets, simhash, suffixdedup, toxicity, urlfilter
+from corpuscle.llm import bpe, debruijn, decontam, imatch, secrets, simhash, suffixdedup, toxicity, urlfilter
 from corpuscle.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +37,11 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op6_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return imatch.compare_with_edits(docs, imatch.lexicon(docs))
+
+
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixdedup.deduplicate(table(spark, sf_dir, "documents"))
 
@@ -58,6 +63,7 @@ QUERIES: dict[str, Query] = {
     "op2_decontamination": op2_decontamination,
     "op4_bpe": op4_bpe,
     "op5_simhash": op5_simhash,
+    "op6_imatch": op6_imatch,
     "op7_suffix_dedup": op7_suffix_dedup,
     "op8_secrets": op8_secrets,
     "op9_debruijn": op9_debruijn,
