@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuscle.llm import bpe, debruijn, decontam, imatch, secrets, simhash, suffixdedup, toxicity, urlfilter
+from corpuscle.llm import bpe, debruijn, decontam, imatch, licenses, secrets, simhash, suffixdedup, toxicity, urlfilter
 from corpuscle.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +27,14 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents' places: source, then groups of 1000 and of 50 ids, then the document."""
+    docs = table(spark, sf_dir, "documents")
+    group = lambda n: F.floor(F.col("doc_id") / n).cast("string")
+    path = F.concat_ws("/", "source", group(1000), group(50), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    return licenses.scan(docs, path)
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe.encode(docs, digests_only=True).drop("text")
@@ -61,6 +69,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_toxicity": op1_toxicity,
     "op2_decontamination": op2_decontamination,
+    "op3_licenses": op3_licenses,
     "op4_bpe": op4_bpe,
     "op5_simhash": op5_simhash,
     "op6_imatch": op6_imatch,
