@@ -1 +1 @@
-
+"""Column builders and numeric kernels."""

@@ -1 +1 @@
-
+"""Corpus operators."""

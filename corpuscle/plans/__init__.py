@@ -1 +1 @@
-
+"""The facade, results, plot data and registered queries."""

@@ -1 +1 @@
-
+"""Readers, reference lists and generated samples."""

@@ -1 +1 @@
-
+"""Online forms of the operators, on Structured Streaming."""
