@@ -102,7 +102,8 @@ def contamination(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", *
 
     spans: the runs of words hit, as (first, last) word numbers from 1.
     """
-    found = hits(df, benchmark, id_col=id_col, **options).dropDuplicates(["id", "text_key", "pos", "size"])
+    # written once, as it is read twice: a row for each text and one for each hit
+    found = materialize(hits(df, benchmark, id_col=id_col, **options).dropDuplicates(["id", "text_key", "pos", "size"]))
     # Intervals in order of their start: what each adds to the words covered so far.
     order = Window.partitionBy("id", "text_key").orderBy("pos", "size").rowsBetween(Window.unboundedPreceding, -1)
     end = F.col("pos") + F.col("size")
