@@ -93,13 +93,15 @@ def tokenize(text: Column, tokenizer=None) -> Column:
 
 
 def ngrams(tokens: Column, n: int = 2, sep: str = "_", include_lower: bool = False) -> Column:
-    def of(k: int) -> Column:
+    def of(t: Column, k: int) -> Column:
         if k == 1:
-            return tokens
-        grams = F.transform(F.sequence(F.lit(1), F.size(tokens) - (k - 1)), lambda i: F.array_join(F.slice(tokens, i, k), sep))
-        return F.when(F.size(tokens) >= k, grams).otherwise(F.array().cast("array<string>"))
+            return t
+        grams = F.transform(F.sequence(F.lit(1), F.size(t) - (k - 1)), lambda i: F.array_join(F.slice(t, i, k), sep))
+        return F.when(F.size(t) >= k, grams).otherwise(F.array().cast("array<string>"))
 
-    return F.concat(*[of(k) for k in range(1, n + 1)]) if include_lower else of(n)
+    sizes = range(1, n + 1) if include_lower else [n]
+    # bound to a variable, so that the tokens are found once and not for each n-gram
+    return F.flatten(F.transform(F.array(tokens), lambda t: F.concat(*[of(t, k) for k in sizes])))
 
 
 def positions(tokens: Column, target: Column | str) -> Column:

@@ -96,7 +96,7 @@ class Corpus:
 
     def tokens(self) -> DataFrame:
         """The documents with a column of their tokens."""
-        return self.df.withColumn("tokens", tokenize(F.col(self.text_col), self.tokenizer))
+        return self.token_lists(*self.df.columns)
 
     def token_lists(self, *keep: str) -> DataFrame:
         """Only the tokens and the columns named, so that nothing else is read."""

@@ -229,7 +229,7 @@ s AS (SELECT doc_id, sum(n) AS size FROM c GROUP BY 1), k AS (SELECT count(*)::D
 
 @query("juilland_d", _CELLS + """
 , r AS (SELECT term, sum(n / size) AS s, sum((n / size) ** 2) AS q FROM c JOIN s USING (doc_id) GROUP BY term)
-SELECT term, round(1 - sqrt(greatest(q / k - (s / k) ** 2, 0.0)) / (s / k) / sqrt(k - 1), 6) AS juilland_d FROM r, k""")
+SELECT term, round(1 - sqrt(greatest(q / k - (s / k) ** 2, 0.0)) / (s / k) / sqrt(k - 1), 6) + 0.0 AS juilland_d FROM r, k""")
 def _(spark, d):
     return rounded(keyness.juilland_d(documents(spark, d).slice(lang="en")), "juilland_d")
 

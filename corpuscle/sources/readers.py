@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import html
 from collections.abc import Callable, Sequence
 from typing import Any
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -86,10 +88,6 @@ def clean_html(text: Column) -> Column:
 
 
 def _unescape(text: Column) -> Column:
-    import html
-
-    import pandas as pd
-
     @F.pandas_udf("string")
     def run(s: pd.Series) -> pd.Series:
         return s.map(lambda t: html.unescape(t) if t is not None else None)
