@@ -112,6 +112,7 @@ def fetch_speeches(
             got, total = parse(fetch(query | {"skip": len(rows), "take": min(page_size, max_results - len(rows))}))
             rows += got
             if not got or len(rows) >= total:
+                rows = rows[:total]
                 break
         df = spark.createDataFrame([tuple(r[f] for f in FIELDS) for r in rows[:max_results]], SCHEMA).withColumn("text", clean_html(F.col("text")))
         if path:

@@ -16,8 +16,14 @@ from corpuscle.operators.senses import knn_novelty, unit
 from corpuscle.operators.series import RunLengths
 
 
+def _timed(stream: DataFrame, time_col: str) -> DataFrame:
+    """Watermarks need times with a zone."""
+    return stream.withColumn(time_col, F.col(time_col).cast("timestamp"))
+
+
 def windowed_counts(stream: DataFrame, time_col: str, term_col: str, window: str = "1 day", slide: str | None = None, late: str = "1 hour") -> DataFrame:
     """(period_start, period_end, term, count); rows later than the watermark are dropped."""
+    stream = _timed(stream, time_col)
     span = F.window(time_col, window, slide) if slide else F.window(time_col, window)
     found = stream.withWatermark(time_col, late).groupBy(span.alias("w"), F.col(term_col).alias("term")).agg(F.count("*").alias("count"))
     return found.select(F.col("w.start").alias("period_start"), F.col("w.end").alias("period_end"), "term", "count")
@@ -25,6 +31,7 @@ def windowed_counts(stream: DataFrame, time_col: str, term_col: str, window: str
 
 def windowed_terms(stream: DataFrame, time_col: str, text_col: str, targets: list[str], window: str = "1 day", late: str = "1 hour", confidence: float = 0.95) -> DataFrame:
     """The trajectory of targets over a stream of documents, with Wilson's intervals."""
+    stream = _timed(stream, time_col)
     tokens = tokenize(F.col(text_col))
     hits = [F.sum(F.size(positions(tokens, t)).cast("long")).alias(f"h{i}") for i, t in enumerate(targets)]
     sums = stream.withWatermark(time_col, late).groupBy(F.window(time_col, window).alias("w")).agg(F.sum(F.size(tokens).cast("long")).alias("total"), *hits)
@@ -36,7 +43,7 @@ def windowed_terms(stream: DataFrame, time_col: str, text_col: str, targets: lis
 
 def sessions(stream: DataFrame, time_col: str, key_col: str, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
     """(key, start, end, n): runs of rows of one key without a longer gap."""
-    found = stream.withWatermark(time_col, late).groupBy(F.session_window(time_col, gap).alias("w"), F.col(key_col)).agg(F.count("*").alias("n"))
+    found = _timed(stream, time_col).withWatermark(time_col, late).groupBy(F.session_window(time_col, gap).alias("w"), F.col(key_col)).agg(F.count("*").alias("n"))
     return found.select(key_col, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
