@@ -16,6 +16,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from dataclasses import dataclass
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -23,12 +24,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Most labelled rows that a model is fitted on; more are thinned evenly by a hash of their id.
-MAX_ROWS = 8_000
+MAX_ROWS = 6_000
 #: Most features of a model, those that separate best; so the model's size is bounded.
 MAX_FEATURES = 20_000
 TOKEN = re.compile(r"[^\W\d_]+|[.!?\n]+")
 ENDS = frozenset(".!?\n")
 THRESHOLD = 0.5
+#: Counters of the first look at the features.
+BUCKETS = 1 << 22
 
 
 @dataclass(frozen=True)
@@ -56,6 +59,10 @@ def sentences(text: str) -> list[list[str]]:
     return found
 
 
+def _features_of(text: str | None) -> set[str]:
+    return {f for w in {w for s in sentences(text or "") for w in s} for f in features(w)}
+
+
 def _softplus(z: np.ndarray) -> np.ndarray:
     return np.logaddexp(0.0, z)
 
@@ -65,28 +72,34 @@ def fit(texts: list[str], labels: list[int], rounds: int = 250, least_z: float =
     y = np.array(labels, np.float64)
     if not len(y):
         return ToxicityModel(-30.0, {})
-    docs = [[{f for w in s for f in features(w)} for s in sentences(t or "")] for t in texts]
-    seen, toxic = Counter(), Counter()
-    for doc, label in zip(docs, labels):
-        own = set().union(*doc)
-        seen.update(own)
-        if label:
-            toxic.update(own)
     rate = y.mean()
-    z = {}
-    for f, n in seen.items():
-        if n >= 4:
-            want = n * rate
-            score = (toxic[f] - want) / np.sqrt(want * (1 - rate) + 1)
-            if abs(score) >= least_z:
-                z[f] = score
+
+    def strength(n: np.ndarray | int, hits: np.ndarray | int):
+        want = n * rate
+        return (hits - want) / np.sqrt(want * (1 - rate) + 1)
+
+    # Counts by hash first, in two arrays of fixed size, so that only promising features are held by name.
+    seen, toxic = np.zeros(BUCKETS, np.int32), np.zeros(BUCKETS, np.int32)
+    for text, label in zip(texts, labels):
+        at = np.unique([crc32(f.encode()) % BUCKETS for f in _features_of(text)] or [0])
+        seen[at] += 1
+        if label:
+            toxic[at] += 1
+    good = (seen >= 4) & (np.abs(strength(seen, toxic)) >= least_z)
+    named, toxic_named = Counter(), Counter()
+    for text, label in zip(texts, labels):
+        own = [f for f in _features_of(text) if good[crc32(f.encode()) % BUCKETS]]
+        named.update(own)
+        if label:
+            toxic_named.update(own)
+    z = {f: v for f, n in named.items() if n >= 4 and abs(v := strength(n, toxic_named[f])) >= least_z}
     names = sorted(z, key=lambda f: (-abs(z[f]), f))[:MAX_FEATURES]
     at = {f: i for i, f in enumerate(names)}
     # rows: sentences with a known feature; the others of a document only have the bias
-    rows, cols, owner, plain = [], [], [], np.zeros(len(docs))
-    for d, doc in enumerate(docs):
-        for s in doc:
-            ids = [at[f] for f in s if f in at]
+    rows, cols, owner, plain = [], [], [], np.zeros(len(y))
+    for d, text in enumerate(texts):
+        for s in sentences(text or ""):
+            ids = list({at[f] for w in s for f in features(w) if f in at})
             if ids:
                 rows += [len(owner)] * len(ids)
                 cols += ids
@@ -98,13 +111,13 @@ def fit(texts: list[str], labels: list[int], rounds: int = 250, least_z: float =
     m, v = np.zeros(len(names) + 1), np.zeros(len(names) + 1)
     for step in range(1, rounds + 1):
         score = np.bincount(rows, w[cols], len(owner)) + b
-        bag = np.bincount(owner, _softplus(score), len(docs)) + plain * _softplus(np.array(b))
+        bag = np.bincount(owner, _softplus(score), len(y)) + plain * _softplus(np.array(b))
         bag = np.maximum(bag, 1e-9)
         pull = (1 - y) - y / np.expm1(np.minimum(bag, 500.0))
         own = pull[owner] / (1 + np.exp(-score))
         grad = np.empty(len(names) + 1)
-        grad[:-1] = np.bincount(cols, own[rows], len(names)) / len(docs) + 1e-5 * w
-        grad[-1] = (own.sum() + (pull * plain).sum() / (1 + np.exp(-b))) / len(docs)
+        grad[:-1] = np.bincount(cols, own[rows], len(names)) / len(y) + 1e-5 * w
+        grad[-1] = (own.sum() + (pull * plain).sum() / (1 + np.exp(-b))) / len(y)
         m = 0.9 * m + 0.1 * grad
         v = 0.99 * v + 0.01 * grad**2
         change = 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9)
