@@ -144,7 +144,7 @@ def keyness_multi(
     """(term, count_<label>..., g2, p_value[, p_adjusted]); unsigned, with one degree of freedom less than corpora."""
     if len(corpora) < 2:
         raise ValueError("at least two corpora are compared")
-    labels = list(labels) if labels is not None else [f"c{i}" for i in range(len(corpora))]
+    labels = list(labels) if labels is not None else ["c" + str(i) for i, _ in enumerate(corpora)]
     if len(labels) != len(corpora) or len(set(labels)) != len(labels):
         raise ValueError("each corpus needs a label of its own")
     if multiple_comparisons not in CORRECTIONS:

@@ -103,7 +103,9 @@ def hill_from_counts(counts: Sequence[int], q: float) -> float:
     if not len(c):
         return 0.0
     p = c / c.sum()
-    return float(np.exp(-(p * np.log(p)).sum())) if q == 1 else float((p**q).sum() ** (1 / (1 - q)))
+    if q == 1:
+        return math.exp(float(-np.dot(p, np.log(p))))
+    return float(np.power(np.power(p, q).sum(), 1.0 / (1.0 - q)))
 
 
 def rarefaction_from_counts(counts: Sequence[int], sample_size: int) -> float:

@@ -92,7 +92,7 @@ def g2_array(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, for
     def part(o: np.ndarray, e: np.ndarray) -> np.ndarray:
         return np.where(o > 0, o * np.log(np.where(o > 0, o, 1) / np.where(e > 0, e, 1)), 0.0)
 
-    with np.errstate(divide="ignore", invalid="ignore"):
+    with np.errstate(all="ignore"):
         share = (a + b) / (n_a + n_b)
         total = part(a, n_a * share) + part(b, n_b * share)
         if formula == "dunning":

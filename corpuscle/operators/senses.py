@@ -159,7 +159,7 @@ def induce_senses(
         if method == "kmeans":
             return kmeans_centroids(rows, n, random_state, restarts)
         labels = ward(sample, n)
-        return np.stack([sample[labels == c].mean(axis=0) for c in range(n)])
+        return np.stack([np.average(sample[labels == g], axis=0) for g in range(n)])
 
     if k is None:
         tried = {}
@@ -241,6 +241,11 @@ def control_threshold(values: Sequence[float], k_sigma: float, n: int, p: float)
     return float((v.mean() if len(v) else p) + k_sigma * np.sqrt(p * (1 - p) / max(n, 1)))
 
 
+def _upper(values: Sequence[float], share: float) -> float:
+    """A percentile, or infinity of nothing."""
+    return float(np.quantile(values, share / 100)) if len(values) else float("inf")
+
+
 def sustained(raw: Sequence[bool], least: int) -> list[bool]:
     """Only runs of at least so many."""
     out, run = [False] * len(raw), []
@@ -423,8 +428,8 @@ def sense_drift(
             pools[1].extend(jsd(v, b) for p, v in d.items() if p not in known)
             if own:
                 pools[2].append(max(own))
-        md_limit = float(np.percentile(pools[0], null_pctile)) if pools[0] else np.inf
-        jsd_limit = float(np.percentile(pools[1], null_pctile)) if pools[1] else np.inf
+        md_limit = _upper(pools[0], null_pctile)
+        jsd_limit = _upper(pools[1], null_pctile)
         if pools[2]:
             p_value = (sum(m >= max((md[p] for p in others), default=0.0) for m in pools[2]) + 1) / (len(pools[2]) + 1)
     else:
@@ -531,7 +536,7 @@ def knn_density_drift(
             own = [d for p, (_, d) in density(score(written(mixed), "reference")[0]).items() if p not in known]
             pool += own
             most += [max(own)] if own else []
-        limit = float(np.percentile(pool, null_pctile)) if pool else np.inf
+        limit = _upper(pool, null_pctile)
         if most:
             real = max((d for p, (_, d) in dens.items() if p not in known), default=0.0)
             p_value = (sum(m >= real for m in most) + 1) / (len(most) + 1)

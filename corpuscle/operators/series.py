@@ -172,7 +172,8 @@ def kleinberg_bursts(counts: np.ndarray, totals: np.ndarray, s: float = 2.0, gam
     if r.sum() == 0:
         return np.zeros(len(r), np.int64)
     rates = np.minimum(r.sum() / d.sum() * s ** np.arange(n_states), 0.999999)
-    up = gamma * math.log(max(len(r), 2)) * np.maximum(np.arange(n_states)[None, :] - np.arange(n_states)[:, None], 0)
+    step = np.arange(n_states)
+    up = gamma * math.log(max(len(r), 2)) * np.clip(np.subtract.outer(-step, -step), 0, None)
     emit = -(r[:, None] * np.log(rates) + (d - r)[:, None] * np.log1p(-rates))
     cost, back = up[0] + emit[0], []
     for e in emit[1:]:
@@ -204,7 +205,7 @@ def interrupted(x: np.ndarray, event: int, level: float = 0.95) -> pd.DataFrame:
     rest = x - design @ coef
     var = float(rest @ rest) / free if free else math.nan
     se = np.sqrt(np.maximum(np.diag(np.linalg.pinv(design.T @ design)) * var, 0))
-    with np.errstate(divide="ignore", invalid="ignore"):
+    with np.errstate(all="ignore"):
         ratio = coef / se
     half = t_ppf(0.5 + level / 2, free) * se if free else np.full(4, math.nan)
     return pd.DataFrame({

@@ -97,7 +97,7 @@ def _unescape(text: Column) -> Column:
 
 def clean_post(text: Column) -> Column:
     """Entities, then URLs out, then white space."""
-    return F.trim(F.regexp_replace(F.regexp_replace(_unescape(text), r"https?://\S+|www\.\S+", " "), r"\s+", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(_unescape(text), r"(?:www\.|https?://)\S+", " "), r"\s+", " "))
 
 
 def classify_text(text: Column, rules: Sequence[tuple[str, str]], otherwise: str = "unknown") -> Column:
