@@ -138,7 +138,29 @@ SELECT w.id AS doc_id, CAST(len(w.w) AS BIGINT) AS n_words, coalesce(c.n_hit, 0)
 FROM words w LEFT JOIN covered c ON c.id = w.id LEFT JOIN named n ON n.id = w.id WHERE w.side = 'd'
 """
 
+DEBRUIJN_SQL = """
+WITH w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents
+), g AS (
+  SELECT doc_id, i, array_to_string(w[i : i + 34], ' ') AS win
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM w WHERE len(w) >= 35)
+), r AS (SELECT win FROM g GROUP BY win HAVING count(*) > 1
+), c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS p FROM g JOIN r USING (win)
+), n AS (
+  SELECT c.doc_id, count(*) AS n_removed, count(*) FILTER (d.p IS NULL) AS n_spans
+  FROM c LEFT JOIN c d ON d.doc_id = c.doc_id AND d.p = c.p - 1 GROUP BY c.doc_id
+), k AS (
+  SELECT u.doc_id, string_agg(u.x, ' ' ORDER BY u.p) AS kept
+  FROM (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM w) u
+  LEFT JOIN c ON c.doc_id = u.doc_id AND c.p = u.p WHERE c.p IS NULL GROUP BY u.doc_id
+)
+SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, coalesce(n.n_removed, 0) AS n_removed, coalesce(n.n_spans, 0) AS n_spans,
+       sha256(coalesce(k.kept, '')) AS kept_sha256
+FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN k ON k.doc_id = w.doc_id
+"""
+
 SQL: dict[str, str] = {
+    "op9_debruijn": DEBRUIJN_SQL,
     "op2_decontamination": DECONTAMINATION_SQL,
     "op10_url_filter": URL_SQL,
 }
