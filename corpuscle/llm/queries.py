@@ -159,7 +159,47 @@ SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, coalesce(n.n_removed, 0) A
 FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN k ON k.doc_id = w.doc_id
 """
 
+
+
+def licenses_sql() -> str:
+    rows = ", ".join(
+        f"({i}, '{licenses.TEMPLATES[i][0]}', '{t}', {n})" for i, c in enumerate(licenses.template_terms()) for t, n in sorted(c.items())
+    )
+    longest = 2 * max(len(t) for _, t in licenses.TEMPLATES)
+    return f"""
+WITH tpl(template, license, term, n) AS (VALUES {rows}
+), d AS (
+  SELECT doc_id, text, source || '/' || (doc_id // 1000) || '/' || (doc_id // 50) AS dir, doc_id || '.txt' AS file FROM documents
+), total AS (SELECT count(*) AS total FROM d
+), freq AS (
+  SELECT term, count(*) AS freq
+  FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+')) AS term FROM d) GROUP BY term
+), idf AS (
+  SELECT DISTINCT term, ln((1 + total) / (1 + coalesce(freq, 0))::DOUBLE) + 1 AS idf FROM tpl LEFT JOIN freq USING (term), total
+), norms AS (SELECT template, sqrt(sum((n * idf) ** 2)) AS norm FROM tpl JOIN idf USING (term) GROUP BY template
+), wt AS (SELECT template, license, term, n * idf / norm AS w FROM tpl JOIN idf USING (term) JOIN norms USING (template)
+), seg AS (
+  SELECT doc_id, seg, row_number() OVER () AS k
+  FROM (SELECT doc_id, unnest(regexp_split_to_array(regexp_replace(text, '([.!?])\\s+', '\\1\n', 'g'), '\\n+')) AS seg FROM d)
+), words AS (SELECT k, doc_id, term, count(*) AS tf FROM (SELECT k, doc_id, unnest(regexp_extract_all(lower(seg), '[\\p{{L}}\\p{{N}}]+')) AS term FROM seg) GROUP BY ALL
+), x AS (SELECT k, doc_id, term, tf * coalesce(idf, ln(1 + total) + 1) AS x FROM words LEFT JOIN idf USING (term), total
+), xn AS (SELECT k, sqrt(sum(x * x)) AS norm FROM x GROUP BY k
+), s AS (
+  SELECT x.k, doc_id, template, license, round(sum(x * w) / max(norm), 6) AS score FROM x JOIN wt USING (term) JOIN xn ON xn.k = x.k
+  GROUP BY ALL HAVING round(sum(x * w) / max(norm), 6) >= {licenses.THRESHOLD}
+), best AS (SELECT doc_id, license, score FROM s QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, template) = 1
+), f AS (
+  SELECT d.doc_id, dir, dir || '/' || file AS path, license, score, license IS NOT NULL AND length(text) <= {longest} AS license_file
+  FROM d LEFT JOIN best USING (doc_id)
+), h AS (SELECT dir, license AS inherited FROM f WHERE license_file QUALIFY row_number() OVER (PARTITION BY dir ORDER BY score DESC, license DESC) = 1)
+SELECT doc_id, path, license, score, license_file, inherited, CASE WHEN inherited IS NOT NULL THEN f.dir END AS inherited_from,
+       coalesce(license, inherited) AS final
+FROM f LEFT JOIN h USING (dir)
+"""
+
+
 SQL: dict[str, str] = {
+    "op3_licenses": licenses_sql(),
     "op9_debruijn": DEBRUIJN_SQL,
     "op2_decontamination": DECONTAMINATION_SQL,
     "op10_url_filter": URL_SQL,
