@@ -7,8 +7,8 @@
 3. Repeated edges are joined back to their occurrences; where neighbours follow each other without a
    branch they are one path, so each text is left with a few spans, not with its windows.
 4. Source coordinates verify the spans: the words themselves are digested, and a span counts as
-   repeated if another with its path and digest exists. Where one path has several digests (two
-   windows of one hash), the windows of those spans are counted by their own digests.
+   repeated if another with its path and digest exists. Edges of a span that stands alone (a hash
+   stood for two things) are settled by the digests of the words at all their occurrences.
 
 Edge cases: null texts have no words; texts of fewer words than `size` keep all; repeated rows are
 copies of one another, also with the same id; null ids are allowed; other columns aren't read.
@@ -55,19 +55,19 @@ def _digest(data: bytes) -> tuple[int, int]:
 
 _SCAN = "id {id}, k1 long, k2 long, n_words long, sha256 string, hs array<long>, ps array<int>"
 _TEXT = "k1 long, k2 long, raw binary, ps array<int>"
-_EDGES = "k1 long, k2 long, pos int, edge long, before long, after long"
+#: Neighbours in 32 bits: where two of them seem alike and aren't, the words at the source tell.
+_EDGES = "t long, pos int, edge long, before int, after int"
 
 
 def _edges(size: int, gram: int, rows: int = 100_000):
     def table(parts: list[tuple]) -> pd.DataFrame:
-        sizes = [len(p[2]) for p in parts]
-        out = {"k1": np.repeat([p[0] for p in parts], sizes), "k2": np.repeat([p[1] for p in parts], sizes)}
-        return pd.DataFrame(out | {c: np.concatenate([p[i] for p in parts]) for i, c in ((2, "pos"), (3, "edge"), (4, "before"), (5, "after"))})
+        out = {"t": np.repeat([p[0] for p in parts], [len(p[1]) for p in parts])}
+        return pd.DataFrame(out | {c: np.concatenate([p[i] for p in parts]) for i, c in ((1, "pos"), (2, "edge"), (3, "before"), (4, "after"))})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         codes, parts, held = _Codes(), [], 0
         for pdf in batches:
-            for k1, k2, raw, ps in zip(pdf["k1"], pdf["k2"], pdf["raw"], pdf["ps"]):
+            for t, raw, ps in zip(pdf["t"], pdf["raw"], pdf["ps"]):
                 coded = _coded(raw.split(), codes)
                 at, first, last = anchors.select(anchors.gram_hashes(coded, gram), size - gram + 1)
                 own = np.isin(at, np.asarray(ps))
@@ -76,7 +76,8 @@ def _edges(size: int, gram: int, rows: int = 100_000):
                 pos = np.concatenate([np.arange(a, b + 1) for a, b in zip(first[own], last[own])])
                 # zero beyond the ends: a text's end is a branch
                 whole = np.concatenate(([0], anchors.gram_hashes(coded, size).view(np.int64), [0]))
-                parts.append((k1, k2, pos.astype(np.int32), whole[pos + 1], whole[pos], whole[pos + 2]))
+                side = whole.astype(np.int32)  # the low half
+                parts.append((t, pos.astype(np.int32), whole[pos + 1], side[pos], side[pos + 2]))
                 held += len(pos)
                 if held >= rows:
                     yield table(parts)
@@ -91,11 +92,11 @@ def _digested(size: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for k1, k2, raw, spans in zip(pdf["k1"], pdf["k2"], pdf["raw"], pdf["spans"]):
+            for t, raw, spans in zip(pdf["t"], pdf["raw"], pdf["spans"]):
                 words = raw.split()
                 for s in spans:
-                    out.append((k1, k2, s["first"], s["last"], s["path"], *_digest(b" ".join(words[s["first"] : s["last"] + size]))))
-            yield pd.DataFrame(out, columns=["k1", "k2", "first", "last", "path", "d1", "d2"])
+                    out.append((t, s["first"], s["last"], s["path"], *_digest(b" ".join(words[s["first"] : s["last"] + size]))))
+            yield pd.DataFrame(out, columns=["t", "first", "last", "path", "d1", "d2"])
 
     return run
 
@@ -104,19 +105,19 @@ def _each_window(size: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for k1, k2, raw, spans in zip(pdf["k1"], pdf["k2"], pdf["raw"], pdf["spans"]):
+            for t, raw, spans in zip(pdf["t"], pdf["raw"], pdf["spans"]):
                 words = raw.split()
                 for s in spans:
-                    out += [(k1, k2, p, *_digest(b" ".join(words[p : p + size]))) for p in range(s["first"], s["last"] + 1)]
-            yield pd.DataFrame(out, columns=["k1", "k2", "first", "d1", "d2"])
+                    out += [(t, p, *_digest(b" ".join(words[p : p + size]))) for p in range(s["first"], s["last"] + 1)]
+            yield pd.DataFrame(out, columns=["t", "first", "d1", "d2"])
 
     return run
 
 
 def compacted(occurs: DataFrame) -> DataFrame:
-    """Spans (k1, k2, first, last, path) of repeated edges: maximal runs without a branch.
+    """Spans (t, first, last, path) of repeated edges: maximal runs without a branch.
 
-    occurs: k1, k2, pos, edge, before, after. path: the edge that the run begins with.
+    occurs: t (the text), pos, edge, before, after. path: the edge that the run begins with.
     """
     known = (
         occurs.groupBy("edge")
@@ -124,33 +125,36 @@ def compacted(occurs: DataFrame) -> DataFrame:
         .filter("n > 1")
         .select("edge", (F.col("before_a") == F.col("before_z")).alias("one_in"), (F.col("after_a") == F.col("after_z")).alias("one_out"))
     )
-    joined = occurs.select("k1", "k2", "pos", "edge").join(known, "edge")
-    order = Window.partitionBy("k1", "k2").orderBy("pos")
+    joined = occurs.select("t", "pos", "edge").join(known, "edge")
+    order = Window.partitionBy("t").orderBy("pos")
     goes_on = (F.lag("pos").over(order) == F.col("pos") - 1) & F.lag("one_out").over(order) & F.col("one_in")
     cut = joined.withColumn("new", (~F.coalesce(goes_on, F.lit(False))).cast("int"))
     cut = cut.withColumn("run", F.sum("new").over(order))
-    return cut.groupBy("k1", "k2", "run").agg(
+    return cut.groupBy("t", "run").agg(
         F.min("pos").alias("first"), F.max("pos").alias("last"), F.max(F.when(F.col("new") == 1, F.col("edge"))).alias("path")
     ).drop("run")
 
 
-def _verified(spans: DataFrame, texts: DataFrame, size: int) -> DataFrame:
+def _verified(spans: DataFrame, occurs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
     """The spans, or single windows of them, whose words occur at two source coordinates."""
-    grouped = spans.groupBy("k1", "k2").agg(F.collect_list(F.struct("first", "last", "path")).alias("spans"))
+    grouped = spans.groupBy("t").agg(F.collect_list(F.struct("first", "last", "path")).alias("spans"))
     read = materialize(
-        texts.select("k1", "k2", "raw").join(grouped, ["k1", "k2"])
-        .mapInPandas(_digested(size), "k1 long, k2 long, first int, last int, path long, d1 long, d2 long")
+        texts.select("t", "raw").join(grouped, "t")
+        .mapInPandas(_digested(size), "t long, first int, last int, path long, d1 long, d2 long")
     )
     alike = read.groupBy("path", "d1", "d2").agg(F.count("*").alias("n"))
-    good = read.join(alike.filter("n > 1"), ["path", "d1", "d2"]).select("k1", "k2", "first", "last")
-    # One path, several texts: a hash stood for two windows. Their windows are counted on their own.
-    mixed = alike.groupBy("path").agg(F.count("*").alias("kinds")).filter("kinds > 1").select("path")
-    # A span of a kind met twice is settled; one of each kind is enough to compare the others with.
-    odd = read.join(mixed, "path").groupBy("path", "d1", "d2").agg(F.min(F.struct("k1", "k2", "first", "last")).alias("s")).select("s.*")
-    odd = odd.groupBy("k1", "k2").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
-    each = texts.select("k1", "k2", "raw").join(odd, ["k1", "k2"]).mapInPandas(_each_window(size), "k1 long, k2 long, first int, d1 long, d2 long")
+    good = read.join(alike.filter("n > 1"), ["path", "d1", "d2"]).select("t", "first", "last")
+    # A span alone with its words: a hash stood for two windows, or for two neighbours. Its edges are
+    # settled one by one, at all their occurrences.
+    alone = read.join(alike.filter("n = 1"), ["path", "d1", "d2"]).select("t", "first", "last")
+    if alone.limit(1).count() == 0:
+        return good
+    inside = occurs.select("t", "pos", "edge").join(alone, "t").filter(F.col("pos").between(F.col("first"), F.col("last")))
+    places = occurs.join(inside.select("edge").distinct(), "edge", "left_semi").select("t", F.struct(F.col("pos").alias("first"), F.col("pos").alias("last")).alias("s"))
+    odd = places.groupBy("t").agg(F.collect_list("s").alias("spans"))
+    each = texts.select("t", "raw").join(odd, "t").mapInPandas(_each_window(size), "t long, first int, d1 long, d2 long")
     often = each.groupBy("d1", "d2").agg(F.count("*").alias("n")).filter("n > 1").select("d1", "d2")
-    single = each.join(often, ["d1", "d2"], "left_semi").select("k1", "k2", "first", F.col("first").alias("last"))
+    single = each.join(often, ["d1", "d2"], "left_semi").select("t", "first", F.col("first").alias("last"))
     return good.unionByName(single)
 
 
@@ -195,9 +199,10 @@ def deduplicate(
 
     # one row a text: identical rows would meet themselves
     texts = docs.join(chosen, docs["id"].eqNullSafe(chosen["id"])).select("text", "k1", "k2", "ps").mapInPandas(join_words, _TEXT)
-    texts = materialize(texts.dropDuplicates(["k1", "k2"]))
-    occurs = materialize(texts.mapInPandas(_edges(size, gram), _EDGES))
-    spans = _verified(compacted(occurs), texts, size).groupBy("k1", "k2").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
+    # the number is in the table, so it stays what it is
+    texts = materialize(texts.dropDuplicates(["k1", "k2"]).withColumn("t", F.monotonically_increasing_id()))
+    occurs = materialize(texts.select("t", "raw", "ps").mapInPandas(_edges(size, gram), _EDGES))
+    spans = _verified(compacted(occurs), occurs, texts, size).groupBy("t").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
 
     def remove(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -212,7 +217,7 @@ def deduplicate(
                 out.append((k1, k2, len(words) - len(kept), len(first), hashlib.sha256(joined).hexdigest(), joined.decode() if with_text else ""))
             yield pd.DataFrame(out, columns=["k1", "k2", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    cuts = texts.select("k1", "k2", "raw").join(spans, ["k1", "k2"]).mapInPandas(
+    cuts = texts.select("t", "k1", "k2", "raw").join(spans, "t").select("k1", "k2", "raw", "spans").mapInPandas(
         remove, "k1 long, k2 long, n_removed long, n_spans long, kept_sha256 string, kept string"
     )
     copied = copies.filter("copies > 1").select("k1", "k2", F.lit(True).alias("copied"))
