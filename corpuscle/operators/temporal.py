@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from corpuscle.functions import stats
 from corpuscle.functions.text import positions
-from corpuscle.operators import series
+from corpuscle.operators import semantic, series
 from corpuscle.operators.corpus import Corpus, period_label, unit_of
 
 
@@ -43,6 +43,10 @@ class Tracker:
 
     trajectory = over_time
 
+    def semantic_over_time(self, embedder=None, freq: str = "Y", time_col: str = "date", **options) -> DataFrame:
+        """How far each target's contexts are from those of its baseline, by period."""
+        return semantic.semantic_trajectory(self.corpus, self.targets, time_col, freq, embedder, **options)
+
 
 def event_trajectory(events: DataFrame, time_col: str, term_col: str, freq: str = "D", confidence: float = 0.95) -> DataFrame:
     """The same table where each row is one token already."""
