@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuscle.llm import bpe, decontam, secrets, simhash, toxicity
+from corpuscle.llm import bpe, decontam, secrets, shingles, toxicity
 from corpuscle.llm.common import materialize, table
 
 #: The stages hold trained models, XXH64 fingerprints and a byte-level tokenizer: not SQL.
@@ -23,8 +23,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of SimHash near duplicates the smallest doc_id stays."""
-    return simhash.keep_one(docs)
+    """Of each class of near copies, by five-word shingles (0.8 or more) or by SimHash, the smallest doc_id stays."""
+    return shingles.keep_one(docs)
 
 
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
