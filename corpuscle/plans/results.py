@@ -13,17 +13,18 @@ from corpuscle.operators.collocation import kwic, kwic_compare
 from corpuscle.operators.corpus import Corpus
 
 
-def to_html(df: DataFrame, path: str | None = None, limit: int = 10_000, **options: Any) -> str:
-    text = df.limit(limit).toPandas().to_html(**options)
+def to_html(df: DataFrame, path: str | None = None, limit: int | None = None, **options: Any) -> str:
+    """All rows, or with a limit so many; the text passes through the driver."""
+    text = (df if limit is None else df.limit(limit)).toPandas().to_html(**options)
     if path:
         with open(path, "w", encoding="utf-8") as f:
             f.write(text)
     return text
 
 
-def to_json(df: DataFrame, path: str | None = None, limit: int = 10_000) -> str:
-    """A JSON array of records."""
-    text = "[" + ",".join(df.limit(limit).toJSON().collect()) + "]"
+def to_json(df: DataFrame, path: str | None = None, limit: int | None = None) -> str:
+    """A JSON array of records: all rows, or with a limit so many; the text passes through the driver."""
+    text = "[" + ",".join((df if limit is None else df.limit(limit)).toJSON().collect()) + "]"
     if path:
         with open(path, "w", encoding="utf-8") as f:
             f.write(text)
@@ -52,8 +53,8 @@ class Result:
     def to_html(self, path: str | None = None, **options: Any) -> str:
         return to_html(self.table, path, **options)
 
-    def to_json(self, path: str | None = None) -> str:
-        return to_json(self.table, path)
+    def to_json(self, path: str | None = None, limit: int | None = None) -> str:
+        return to_json(self.table, path, limit)
 
     def write_parquet(self, path: str, mode: str = "error") -> None:
         self.table.write.mode(mode).parquet(path)
@@ -113,8 +114,8 @@ class NetworkResult:
     def to_html(self, path: str | None = None, **options: Any) -> str:
         return to_html(self.edges, path, **options)
 
-    def to_json(self, path: str | None = None) -> str:
-        return to_json(self.edges, path)
+    def to_json(self, path: str | None = None, limit: int | None = None) -> str:
+        return to_json(self.edges, path, limit)
 
     def summary(self) -> str:
         return f"NetworkResult({self.nodes.count()} nodes, {self.edges.count()} edges)"

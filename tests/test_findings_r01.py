@@ -1,11 +1,13 @@
 """Places where the code once did less than the whole job."""
 
 import html
+import json
 import random
 import re
 
 import corpus_pipeline
 from corpuscle.plans import queries
+from corpuscle.plans.results import Result
 
 SF = "/root/testdata/sf0.001"
 
@@ -49,3 +51,11 @@ def test_pipeline_reaches_near_copies(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     kept = {r["doc_id"] for r in corpus_pipeline.keep_one_of_near_copies(spark, docs, "").collect()}
     assert kept == {i for i in ids if find(i) == i}
+
+
+def test_exports_write_all_rows(spark, tmp_path):
+    result = Result(spark.range(10_500))
+    assert len(json.loads(result.to_json(str(tmp_path / "all.json")))) == 10_500
+    assert len(json.loads((tmp_path / "all.json").read_text())) == 10_500
+    assert len(json.loads(result.to_json(limit=7))) == 7
+    assert result.to_html().count("<tr") == 10_501 and result.to_html(limit=7).count("<tr") == 8
