@@ -91,7 +91,8 @@ def hits(
             "id", "text_key", F.size("w").alias("n_words"), F.posexplode(F.expr(f"transform(sequence(1, size(w) - {m - 1}), i -> xxhash64(slice(w, i, {m})))")).alias("at", "h")
         )
         near = grams.join(table.filter(F.col("size") == m), "h").withColumn("pos", F.col("at") + 1)
-        near = near.join(docs.select("id", "text_key", "w"), ["id", "text_key"])
+        own = docs.select(F.col("id").alias("own_id"), F.col("text_key").alias("own_key"), "w")
+        near = near.join(own, F.col("id").eqNullSafe(F.col("own_id")) & (F.col("text_key") == F.col("own_key")))
         near = near.filter(F.slice("w", F.col("pos"), F.col("size")) == F.col("win")).dropDuplicates(["id", "text_key", "pos", "size"])
         found = found.unionByName(near.select("id", "text_key", "n_words", "pos", "size", "items"))
     return found

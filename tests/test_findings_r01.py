@@ -6,6 +6,7 @@ import random
 import re
 
 import corpus_pipeline
+from corpuscle.llm import decontam
 from corpuscle.plans import queries
 from corpuscle.plans.results import Result
 
@@ -59,3 +60,14 @@ def test_exports_write_all_rows(spark, tmp_path):
     assert len(json.loads((tmp_path / "all.json").read_text())) == 10_500
     assert len(json.loads(result.to_json(limit=7))) == 7
     assert result.to_html().count("<tr") == 10_501 and result.to_html(limit=7).count("<tr") == 8
+
+
+def test_decontamination_of_null_ids(spark):
+    passage = " ".join(f"item{i}" for i in range(20))
+    docs = spark.createDataFrame([(None, f"before {passage} after"), (1, passage), (2, "clean words")], "doc_id long, text string")
+    benchmark = spark.createDataFrame([(7, passage)], "item_id long, text string")
+    got = []
+    for rows in (decontam.BROADCAST_ROWS, 0):
+        found = decontam.contamination(docs, benchmark, broadcast_rows=rows).select("doc_id", "n_words", "n_hit", "contaminated")
+        got.append(sorted(map(tuple, found.collect()), key=str))
+    assert got[0] == got[1] == [(1, 20, 20, True), (2, 2, 0, False), (None, 22, 20, True)]
