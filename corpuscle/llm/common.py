@@ -20,18 +20,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or in tests one of our own."""
+    """The folder that all executors share: spark.checkpoint.dir, or in a local session one of our own.
+
+    On a cluster a folder of one machine would lose rows, so there the setting is required.
+    """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         sc = spark.sparkContext
         found = sc._jsc.sc().getCheckpointDir()
         if found.isDefined():
             return found.get()
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="corpuscle-shared-")
         sc.setCheckpointDir(where)
     return where.rstrip("/")
 
 
+def free(df: DataFrame, *names: str) -> list[str]:
+    """Column names like these that df does not have, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        name = f"_{name}"
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+        taken.add(name.lower())
+    return out
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Cut the lineage of df with a table in the shared folder.
 

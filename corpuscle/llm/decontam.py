@@ -3,8 +3,9 @@
 The benchmark's word windows become a hash table; a document's windows are hashed in one pass, those
 found in the table are verified word by word, and each hit covers its words.
 
-Edge cases: null texts have no words; repeated rows with the same id and text give one result row
-(remove() keeps them all); an empty benchmark hits nothing; items without words have no window.
+Edge cases: null texts have no words; null ids are ids like any other; repeated rows with the same id
+and text give one result row (remove() keeps them all); an empty table gives no rows; an empty benchmark
+hits nothing; items without words have no window; other columns aren't read, and remove() keeps them.
 """
 
 from __future__ import annotations
@@ -12,9 +13,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpuscle.llm.common import BROADCAST_ROWS, materialize
+from corpuscle.llm.common import BROADCAST_ROWS, free, materialize, small
 
 N = 13
+#: Words of a text that are compared with windows at once.
+BLOCK = 1024
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Outside ASCII, whatever Unicode lower-casing might change.
@@ -50,52 +53,57 @@ def hits(
     broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """Rows (id, text_key, n_words, pos, size, items): a row of pos 0 for each (id, text), and one for
-    each verified window, which starts at word pos (from 1)."""
+    each verified window, which starts at word pos (from 1).
+
+    Only hashes are exploded, so work grows in proportion to a text's length; the words themselves are
+    fetched for the texts with hits, in blocks of bounded size, and compared with the windows.
+    """
     table = materialize(windows_of(benchmark, n))
     known = table.agg(F.count("*").alias("n"), F.collect_set("size").alias("sizes")).first()
     sizes = sorted(known["sizes"])
-    docs = df.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_key"), words(F.col(text_col)).alias("w"))
+    docs = df.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text"))
+    lists = docs.select("id", "text_key", words(F.col("text")).alias("w")).select("id", "text_key", "w", F.size("w").alias("n_words"))
+    none = F.lit(None).cast("array<string>")
+    marks = lists.select("id", "text_key", "n_words", F.lit(0).alias("pos"), F.lit(0).alias("size"), none.alias("items"))
+    if not sizes:
+        return marks
     each = [
-        f"case when size(w) >= {m} then transform(sequence(1, size(w) - {m - 1}), i -> xxhash64(slice(w, i, {m}))) else array() end"
+        f"case when n_words >= {m} then transform(sequence(1, n_words - {m - 1}), i -> xxhash64(slice(w, i, {m}))) else array() end"
         for m in sizes
     ]
-    marks = docs.select("id", "text_key", "w", F.size("w").alias("n_words"))
-    none = marks.select("id", "text_key", "n_words", F.lit(0).alias("pos"), F.lit(0).alias("size"), F.lit(None).cast("array<string>").alias("items"))
-    if not sizes:
-        return none
-    if known["n"] <= broadcast_rows:
-        # One pass: the first entry stands for the document itself and always finds its row.
-        start = "cast(array(-1L) as array<bigint>)"
-        own = table.select("h", "size", "win", "items").unionByName(
-            df.sparkSession.range(1).select(
-                F.lit(-1).cast("long").alias("h"), F.lit(0).alias("size"), F.lit(None).cast("array<string>").alias("win"), F.lit(None).cast("array<string>").alias("items")
-            )
-        )
-        found = []
-        # windows of every size in one array, each size with its own offset
-        offsets = marks.select("id", "text_key", "w", "n_words", F.posexplode(F.expr(f"concat({start}, {', '.join(each)})")).alias("at", "h"))
-        joined = offsets.join(F.broadcast(own), "h")
-        before = F.lit(0)
-        pos = F.lit(0)
-        for m in sizes:
-            pos = F.when(F.col("size") == m, F.col("at") - before).otherwise(pos)
-            before = before + F.greatest(F.col("n_words") - F.lit(m - 1), F.lit(0))
-        joined = joined.withColumn("pos", pos)
-        real = (F.col("size") == 0) & (F.col("at") == 0) | (F.col("size") > 0) & (F.col("pos") > 0) & (
-            F.when((F.col("size") > 0) & (F.col("pos") > 0), F.slice("w", F.col("pos"), F.col("size"))) == F.col("win")
-        )
-        return joined.filter(real).select("id", "text_key", "n_words", "pos", "size", "items")
-    found = none
+    keys = table.select("h", "size").distinct()
+    one_pass = known["n"] <= broadcast_rows
+    if one_pass:
+        # the first entry stands for the text itself and always finds its row
+        each.insert(0, "cast(array(-1L) as array<bigint>)")
+        own = df.sparkSession.range(1).select(F.lit(-1).cast("long").alias("h"), F.lit(0).alias("size"))
+        keys = F.broadcast(keys.unionByName(own))
+    # windows of every size in one array, each size with its own offset
+    hashed = lists.select("id", "text_key", "n_words", F.posexplode(F.expr(f"concat({', '.join(each)})")).alias("at", "h")).join(keys, "h")
+    before, pos = F.lit(1 if one_pass else 0), F.lit(-1)
     for m in sizes:
-        grams = docs.filter(F.size("w") >= m).select(
-            "id", "text_key", F.size("w").alias("n_words"), F.posexplode(F.expr(f"transform(sequence(1, size(w) - {m - 1}), i -> xxhash64(slice(w, i, {m})))")).alias("at", "h")
-        )
-        near = grams.join(table.filter(F.col("size") == m), "h").withColumn("pos", F.col("at") + 1)
-        own = docs.select(F.col("id").alias("own_id"), F.col("text_key").alias("own_key"), "w")
-        near = near.join(own, F.col("id").eqNullSafe(F.col("own_id")) & (F.col("text_key") == F.col("own_key")))
-        near = near.filter(F.slice("w", F.col("pos"), F.col("size")) == F.col("win")).dropDuplicates(["id", "text_key", "pos", "size"])
-        found = found.unionByName(near.select("id", "text_key", "n_words", "pos", "size", "items"))
-    return found
+        pos = F.when(F.col("size") == m, F.col("at") - before + 1).otherwise(pos)
+        before = before + F.greatest(F.col("n_words") - F.lit(m - 1), F.lit(0))
+    mine = F.col("n_words") - F.col("size") + 1
+    real = (F.col("size") > 0) & (F.col("pos") >= 1) & (F.col("pos") <= mine) | (F.col("size") == 0) & (F.col("at") == 0)
+    found = hashed.withColumn("pos", F.when(F.col("size") == 0, F.lit(0)).otherwise(pos)).filter(real)
+    # repeated rows find the same
+    found = materialize(found.select("id", "text_key", "n_words", "pos", "size", "h").distinct())
+    near = found.filter("pos > 0")
+    same = lambda a, b: a["id"].eqNullSafe(b["id"]) & (a["text_key"] == b["text_key"])
+    hit_keys = small(near.select("id", "text_key").distinct())
+    hit = docs.join(hit_keys, same(docs, hit_keys), "left_semi").dropDuplicates(["id", "text_key"]).select("id", "text_key", words(F.col("text")).alias("w"))
+    cut = f"transform(sequence(0, (size(w) - 1) div {BLOCK}), b -> struct(cast(b as int) as block, slice(w, cast(b as int) * {BLOCK} + 1, {BLOCK + n - 1}) as part))"
+    blocks = hit.select("id", "text_key", F.explode(F.expr(cut)).alias("b")).select("id", "text_key", "b.block", "b.part")
+    wanted = table if not one_pass else F.broadcast(table)
+    per = near.join(wanted, ["h", "size"]).withColumn("block", F.floor((F.col("pos") - 1) / BLOCK).cast("int"))
+    per = per.groupBy("id", "text_key", "n_words", "block").agg(F.collect_list(F.struct("pos", "size", "win", "items")).alias("found"))
+    both = per.join(blocks, same(per, blocks) & (per["block"] == blocks["block"])).select(per["id"], per["text_key"], "n_words", "part", per["block"], "found")
+    alike = F.filter("found", lambda x: F.slice("part", x["pos"] - F.col("block") * BLOCK, x["size"]) == x["win"])
+    true = both.select("id", "text_key", "n_words", F.explode(alike).alias("x")).select("id", "text_key", "n_words", "x.pos", "x.size", "x.items")
+    if one_pass:
+        marks = found.filter("pos = 0").select("id", "text_key", "n_words", "pos", "size", none.alias("items"))
+    return marks.unionByName(true)
 
 
 def contamination(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
@@ -104,7 +112,7 @@ def contamination(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", *
     spans: the runs of words hit, as (first, last) word numbers from 1.
     """
     # written once, as it is read twice: a row for each text and one for each hit
-    found = materialize(hits(df, benchmark, id_col=id_col, **options).dropDuplicates(["id", "text_key", "pos", "size"]))
+    found = materialize(hits(df, benchmark, id_col=id_col, **options))
     # Intervals in order of their start: what each adds to the words covered so far.
     order = Window.partitionBy("id", "text_key").orderBy("pos", "size").rowsBetween(Window.unboundedPreceding, -1)
     end = F.col("pos") + F.col("size")
@@ -132,17 +140,18 @@ def remove(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
 
     A cut takes each word with the separators after it.
     """
+    key, own, own_key, gone, spans, words_ = free(df, "key", "id", "id_key", "gone", "spans", "pieces")
     bad = contamination(df, benchmark, id_col=id_col, text_col=text_col, **options).filter("n_hit > 0")
-    bad = bad.select(F.col(id_col).alias("_id"), F.col("text_key").alias("_key"), F.col("contaminated").alias("_bad"), F.col("spans").alias("_spans"))
-    keyed = df.withColumn("_text_key", F.xxhash64(text_col))
-    both = keyed.join(bad, keyed[id_col].eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key")), "left")
-    both = both.filter(~F.coalesce("_bad", F.lit(False)))
+    bad = bad.select(F.col(id_col).alias(own), F.col("text_key").alias(own_key), F.col("contaminated").alias(gone), F.col("spans").alias(spans))
+    keyed = df.withColumn(key, F.xxhash64(text_col))
+    both = keyed.join(bad, keyed[id_col].eqNullSafe(bad[own]) & (keyed[key] == bad[own_key]), "left")
+    both = both.filter(~F.coalesce(gone, F.lit(False)))
     # leading separators, then each word with what follows it
     pieces = F.regexp_extract_all(text_col, F.lit(r"^[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+|[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*"), F.lit(0))
+    both = both.withColumn(words_, F.when(F.col(spans).isNotNull(), pieces))
     lead = F.when(F.col(text_col).rlike(r"^[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"), 1).otherwise(0)
-    kept = F.filter(
-        F.transform(pieces, lambda p, i: F.struct(p.alias("p"), (i + 1 - lead).alias("i"))),
-        lambda x: ~F.exists("_spans", lambda s: (x.i >= s["first"]) & (x.i <= s["last"])),
-    )
-    cut = F.array_join(F.transform(kept, lambda x: x.p), "")
-    return both.withColumn(text_col, F.when(F.col("_spans").isNotNull(), cut).otherwise(F.col(text_col))).select(*df.columns)
+    # what stands between the spans, from one to the next
+    starts = F.concat(F.array(F.lit(1)), F.transform(spans, lambda s: s["last"] + lead + 1))
+    ends = F.concat(F.transform(spans, lambda s: s["first"] + lead - 1), F.array(F.size(words_)))
+    kept = F.zip_with(starts, ends, lambda a, b: F.array_join(F.slice(words_, a, F.greatest(b - a + 1, F.lit(0))), ""))
+    return both.withColumn(text_col, F.when(F.col(spans).isNotNull(), F.array_join(kept, "")).otherwise(F.col(text_col))).select(*df.columns)
