@@ -79,28 +79,34 @@ QUERIES: dict[str, Query] = {
     "op10_url_filter": op10_url_filter,
 }
 
-URL_SQL = """
-WITH split AS (
-  SELECT page_id, url, strpos(url, '://') AS mark, substr(url, strpos(url, '://') + 3) AS rest FROM pages
+def url_sql() -> str:
+    listed = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
+    return f"""
+WITH lists AS (SELECT {listed(urlfilter.STRONG)} AS strong, {listed(urlfilter.WEAK)} AS weak, {listed(urlfilter.COMPANY)} AS company, {listed(urlfilter.TRACKERS)} AS trackers
+), pairs AS (
+  SELECT a, unnest(company) AS b FROM (SELECT unnest(weak) AS a, company FROM lists) UNION ALL
+  SELECT a, b FROM (SELECT a, unnest(trackers) AS b FROM (SELECT unnest(trackers) AS a, trackers FROM lists)) WHERE a <> b
+), labels AS (SELECT DISTINCT unnest([a || '-' || b, b || '-' || a, a || b, b || a]) AS label FROM pairs
+), split AS (
+  SELECT page_id, strpos(url, '://') AS mark, substr(url, strpos(url, '://') + 3) AS rest FROM pages
 ), parts AS (
-  SELECT page_id, lower(url) AS url,
+  SELECT row_number() OVER () AS k, page_id,
          CASE WHEN mark > 0 THEN translate(regexp_extract(rest, '^[^/?#]*'),
               'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE '' END AS host,
          CASE WHEN mark > 0 THEN regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) ELSE '' END AS path
   FROM split
+), met AS (
+  SELECT k, label || '.' AS t FROM (SELECT k, unnest(list_transform(string_split(host, '.'), lambda x: regexp_replace(x, ':.*$', '', 's'))) AS label FROM parts) JOIN labels USING (label)
+  UNION ALL SELECT k, w FROM parts, (SELECT unnest(strong) AS w FROM lists) WHERE regexp_matches(host, '\\b' || w || '\\b')
+), found AS (SELECT k, min(t) AS p FROM met GROUP BY k
 ), named AS (
-  SELECT *, CASE
+  SELECT parts.*, p, CASE
     WHEN (host = 'example.org' OR ends_with(host, '.example.org')) AND starts_with(path, '/en/1') THEN 'example.org/en/1'
     WHEN (host = 'example.org' OR ends_with(host, '.example.org')) AND starts_with(path, '/es/') THEN 'example.org/es/'
-    WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/fr/') THEN 'com/fr/'
     WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/de/') THEN 'com/de/'
-    WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/') THEN 'org/' END AS rule,
-    CASE WHEN regexp_matches(url, '://[^/?#]*\\bcasino\\b') THEN '://[^/?#]*\\bcasino\\b'
-         WHEN regexp_matches(url, '://[^/?#]*\\bbets\\b') THEN '://[^/?#]*\\bbets\\b'
-         WHEN regexp_matches(url, '://[^/?#]*\\bpills\\b') THEN '://[^/?#]*\\bpills\\b'
-         WHEN regexp_matches(url, '://[^/?#]*\\bporn\\b') THEN '://[^/?#]*\\bporn\\b'
-         WHEN regexp_matches(url, '://[^/?#]*\\bxxx\\b') THEN '://[^/?#]*\\bxxx\\b' END AS p
-  FROM parts
+    WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/fr/') THEN 'com/fr/'
+    WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/') THEN 'org/' END AS rule
+  FROM parts LEFT JOIN found USING (k)
 )
 SELECT page_id, host, path, rule,
        CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
@@ -109,6 +115,7 @@ SELECT page_id, host, path, rule,
 FROM named
 """
 
+
 DECONTAMINATION_SQL = """
 WITH words AS (
   SELECT 'd' AS side, doc_id AS id, regexp_extract_all(translate(coalesce(text, ''),
@@ -202,5 +209,5 @@ SQL: dict[str, str] = {
     "op3_licenses": licenses_sql(),
     "op9_debruijn": DEBRUIJN_SQL,
     "op2_decontamination": DECONTAMINATION_SQL,
-    "op10_url_filter": URL_SQL,
+    "op10_url_filter": url_sql(),
 }
