@@ -1,13 +1,18 @@
 """Byte-level BPE: encoding in overlapping chunks, decoding by concatenation.
 
-A text of at most chunk_chars is encoded whole. A longer one is cut into chunks that overlap; each
-chunk is pre-tokenised on its own, in parallel. A pre-token depends only on where it starts and on
-what follows, so two neighbours that share a boundary in their overlap agree from there on: the text
-is cut there, and the pieces are encoded in parallel. Where an overlap holds no shared boundary (a
-run without any boundary longer than the overlap), the rest of that text stays one piece.
-
-Edge cases: null counts as the empty text, which has no tokens; repeated rows each get their row;
-other columns are kept, and the columns added replace columns of the same name.
+A text is cut into chunks that overlap; each chunk is pre-tokenised on its own. A pre-token depends only
+on where it starts and on what follows, so two neighbours that share a boundary in their overlap agree
+from there on: the text is cut there, and the pieces are encoded on their own. A cut has no white space
+before it, as white space is split by what follows. Where an overlap holds no shared boundary (a run
+without any boundary longer than the overlap), pre-tokens are followed from the last sure boundary on,
+until one ends where a later chunk has a boundary too.
+
+Texts of up to long_chars go through this within their row; the chunks and pieces of longer ones are
+spread over tasks.
+
+Edge cases: null counts as the empty text, which has no tokens; repeated rows each get their row; an
+empty table gives an empty table; other columns are kept, and the columns added replace columns of the
+same name.
 """
 
 from __future__ import annotations
@@ -22,8 +27,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CHUNK_CHARS = 32_768
-OVERLAP_CHARS = 1_024
+from corpuscle.llm.common import free
+
+CHUNK_CHARS = 1_024
+OVERLAP_CHARS = 64
+#: Texts above are spread over tasks, in chunks that are longer by as much.
+LONG_CHARS = 32_768
 
 
 @lru_cache(maxsize=4)
@@ -73,47 +82,76 @@ def _chunks(batches, chunk: int, overlap: int) -> Iterator[pd.DataFrame]:
                 yield pd.DataFrame({"k": [k], "i": [i], "ends": [end >= len(text)], "part": [text[start:end]]})
 
 
-def cut_points(parts: list[tuple[int, list[int], list[int]]], n_chars: int) -> list[int]:
-    """Starts of the pieces and the end, from (chunk, boundaries near its head, and near its tail)."""
-    parts = sorted(parts)
-    cuts = [0]
-    for (_, _, tail), (_, head, _) in zip(parts, parts[1:]):
-        both = set(tail) & set(head)
-        if not both:
-            break  # the next chunk is not known to be in step; all that is left is one piece
-        if min(both) > cuts[-1]:
-            cuts.append(min(both))
-    if n_chars > cuts[-1]:
-        cuts.append(n_chars)
+def marks(part: str, start: int, ends: bool, pattern: str, chunk: int, overlap: int) -> tuple[list[int], list[int]]:
+    """The boundaries of the chunk at start: in the overlap with the chunk before it, and with the one after it."""
+    at = boundaries(part, pattern)
+    if not ends:
+        # what touches the end of a chunk might go on beyond it
+        at = [p for p in at if p < len(part) - 1]
+    return [start + p for p in at if p <= overlap], [start + p for p in at if p >= chunk]
+
+
+def cut_points(text: str, heads: list[list[int]], tails: list[list[int]], pattern: str, chunk: int, overlap: int) -> list[int]:
+    """Starts of the pieces and the end, from the boundaries near each chunk's head and tail."""
+    cuts, j, last = [0], 0, len(heads) - 1
+    while j < last:
+        both = sorted(set(tails[j]).intersection(heads[j + 1]))
+        if both:  # the next chunk is in step
+            j += 1
+        else:
+            both, j = _walk(text, max(tails[j], default=cuts[-1]), heads, j + 1, pattern, chunk, overlap)
+        cut = next((p for p in both if p > cuts[-1] and not text[p - 1].isspace()), None)
+        if cut is not None:
+            cuts.append(cut)
+    if len(text) > cuts[-1]:
+        cuts.append(len(text))
     return cuts
 
 
+def _walk(text: str, at: int, heads: list[list[int]], k: int, pattern: str, chunk: int, overlap: int) -> tuple[list[int], int]:
+    """Pre-tokens from a sure boundary on, until one ends at a boundary of chunk k or a later one: (that boundary, the chunk)."""
+    for m in _pattern(pattern).finditer(text, at):
+        p = m.end()
+        while k < len(heads) and p > k * chunk + overlap:
+            k += 1
+        if k == len(heads):
+            break
+        if p >= k * chunk and p in heads[k]:
+            return [p], k
+    return [], len(heads) - 1
+
+
+def pieces(text: str, pattern: str, chunk: int, overlap: int) -> list[str]:
+    """Runs of whole pre-tokens that make up the text."""
+    if len(text) <= chunk + overlap:
+        return [text]
+    found = [
+        marks(text[at : at + chunk + overlap], at, at + chunk + overlap >= len(text), pattern, chunk, overlap) for at in range(0, len(text), chunk)
+    ]
+    cuts = cut_points(text, [h for h, _ in found], [t for _, t in found], pattern, chunk, overlap)
+    return [text[a:b] for a, b in zip(cuts, cuts[1:])]
+
+
 def _piece_rows(long: DataFrame, pattern: str, chunk: int, overlap: int) -> DataFrame:
     """(k, piece, text) for long (k, text): whole pre-tokens, in pieces of about a chunk."""
     spread = long.mapInPandas(lambda b: _chunks(b, chunk, overlap), "k string, i long, ends boolean, part string")
 
-    def marks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            heads, tails = [], []
-            for i, ends, part in zip(pdf["i"], pdf["ends"], pdf["part"]):
-                at = boundaries(part, pattern)
-                # what touches the end of a chunk might go on beyond it
-                sure = at if ends else [p for p in at if p < len(part) - 1]
-                heads.append([i * chunk + p for p in sure if p <= overlap])
-                tails.append([i * chunk + p for p in sure if p >= chunk])
-            yield pd.DataFrame({"k": pdf["k"], "i": pdf["i"], "head": heads, "tail": tails})
-
-    marked = spread.repartition("k", "i").mapInPandas(marks, "k string, i long, head array<long>, tail array<long>")
-    parts = marked.groupBy("k").agg(F.collect_list(F.struct("i", "head", "tail")).alias("parts"))
-
-    def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            got = [marks(part, i * chunk, ends, pattern, chunk, overlap) for i, ends, part in zip(pdf["i"], pdf["ends"], pdf["part"])]
+            yield pd.DataFrame({"k": pdf["k"], "i": pdf["i"], "head": [h for h, _ in got], "tail": [t for _, t in got]})
+
+    marked = spread.repartition("k", "i").mapInPandas(mark, "k string, i long, head array<long>, tail array<long>")
+    parts = marked.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("i", "head", "tail"))).alias("parts"))
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for k, text, got in zip(pdf["k"], pdf["text"], pdf["parts"]):
-                cuts = cut_points([(p["i"], list(p["head"]), list(p["tail"])) for p in got], len(text))
+                cuts = cut_points(text, [list(p["head"]) for p in got], [list(p["tail"]) for p in got], pattern, chunk, overlap)
                 for n, (a, b) in enumerate(zip(cuts, cuts[1:])):
                     yield pd.DataFrame({"k": [k], "piece": [n], "text": [text[a:b]]})
 
-    return long.join(parts, "k").select("k", "text", "parts").mapInPandas(pieces, "k string, piece long, text string")
+    return long.join(parts, "k").select("k", "text", "parts").mapInPandas(cut, "k string, piece long, text string")
 
 
 def encode(
@@ -123,6 +161,7 @@ def encode(
     pattern: str | None = None,
     chunk_chars: int = CHUNK_CHARS,
     overlap_chars: int = OVERLAP_CHARS,
+    long_chars: int = LONG_CHARS,
     digests_only: bool = False,
 ) -> DataFrame:
     """df with ids (array<int>), or with digests_only n_tokens, ids_sha256 and decoded_sha256 in its place.
@@ -139,15 +178,17 @@ def encode(
     @F.pandas_udf(f"struct<{', '.join(f.replace(' ', ':') for f in fields.split(', '))}>")
     def whole(texts: pd.Series) -> pd.DataFrame:
         enc = _encoding(path, pat)
-        ids = (enc._core_bpe.encode_ordinary(t or "") for t in texts)
+        one = enc._core_bpe.encode_ordinary
+        ids = ([i for piece in pieces(t or "", pat, chunk_chars, overlap_chars) for i in one(piece)] for t in texts)
         if digests_only:
             return pd.DataFrame([_summary(enc, x) for x in ids], columns=added)
         return pd.DataFrame({"ids": list(ids)})
 
-    is_long = F.coalesce(F.length(text_col) > chunk_chars, F.lit(False))
-    short = df.filter(~is_long).withColumn("_e", whole(F.col(text_col)))
-    keyed = df.filter(is_long).withColumn("_k", F.sha2(F.col(text_col), 256))
-    long = keyed.groupBy(F.col("_k").alias("k")).agg(F.first(text_col).alias("text"))
+    is_long = F.coalesce(F.length(text_col) > long_chars, F.lit(False))
+    out, key = free(df, "e", "k")
+    short = df.filter(~is_long).withColumn(out, whole(F.col(text_col)))
+    keyed = df.filter(is_long).withColumn(key, F.sha2(F.col(text_col), 256))
+    long = keyed.groupBy(F.col(key).alias("k")).agg(F.first(text_col).alias("text"))
 
     def encode_pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc = _encoding(path, pat)
@@ -156,7 +197,7 @@ def encode(
             yield pd.DataFrame({"k": pdf["k"], "piece": pdf["piece"], "ids": ids})
 
     done = (
-        _piece_rows(long, pat, chunk_chars, overlap_chars)
+        _piece_rows(long, pat, long_chars, max(overlap_chars, min(OVERLAP_CHARS * 16, long_chars // 4)))
         .repartition("k", "piece")
         .mapInPandas(encode_pieces, "k string, piece long, ids binary")
         .groupBy("k")
@@ -174,9 +215,9 @@ def encode(
             return pd.DataFrame([_summary(enc, x) for x in ids], columns=added)
         return pd.DataFrame({"ids": ids})
 
-    done = done.select(F.col("k").alias("_k"), join_pieces("pieces").alias("_e"))
-    both = short.unionByName(keyed.join(done, "_k").drop("_k"))
-    return both.select(*df.columns, "_e.*")
+    done = done.select(F.col("k").alias(key), join_pieces("pieces").alias(out))
+    both = short.unionByName(keyed.join(done, key).drop(key))
+    return both.select(*df.columns, f"{out}.*")
 
 
 def decode(df: DataFrame, ids_col: str = "ids", out_col: str = "decoded", tokenizer_path: str | None = None) -> DataFrame:
