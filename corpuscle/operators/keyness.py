@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuscle.functions import stats
 from corpuscle.functions.special import p_value
 from corpuscle.operators.corpus import Corpus, require_documents
+from corpuscle.plans.storage import ranged, running, written
 
 CORRECTIONS = ("none", "bh", "bonferroni")
 
@@ -31,20 +32,21 @@ def side_counts(a: Corpus, b: Corpus) -> DataFrame:
     return both.groupBy("term").agg(F.sum("in_a").alias("count_a"), F.sum(1 - F.col("in_a")).alias("count_b"))
 
 
-def totals(*sides: Corpus) -> list[int]:
-    """Tokens of each side, in one job a side and without exploding them."""
-    found = [s.total_tokens() for s in sides]
-    for side, n in zip(sides, found):
-        if n <= 0:
+def with_totals(counts: DataFrame, columns: Sequence[str], sides: Sequence[Corpus]) -> tuple[DataFrame, list[int]]:
+    """counts as a table, and the sum of each column: texts are read and cut to tokens once for both."""
+    counts = written(counts)
+    row = counts.agg(*[F.sum(F.col(f"`{c}`")) for c in columns]).first()
+    for side, n in zip(sides, row):
+        if not n:
             raise ValueError(f"{side.label} holds no tokens")
-    return found
+    return counts, [int(n) for n in row]
 
 
 def adjusted(table: DataFrame, method: str, p_col: str = "p_value", out: str = "p_adjusted") -> DataFrame:
     """Benjamini-Hochberg or Bonferroni over the rows whose p isn't NaN; NaN stays.
 
-    For Benjamini-Hochberg, ranks come from counts of equal p in a table of different values: rows of
-    one p share one adjusted value, so the window runs over different values only.
+    For Benjamini-Hochberg, ranks come from counts of equal p in a table of different values, which is
+    cut to ranges: what runs over all of it is carried from range to range.
     """
     if method not in CORRECTIONS:
         raise ValueError(f"a correction is one of {', '.join(CORRECTIONS)}, not {method!r}")
@@ -55,12 +57,11 @@ def adjusted(table: DataFrame, method: str, p_col: str = "p_value", out: str = "
         m = real.agg(F.count("*").alias("_m"))
         both = table.crossJoin(F.broadcast(m))
         return both.withColumn(out, F.least(F.col(p_col) * F.col("_m"), F.lit(1.0))).drop("_m")
-    values = real.groupBy(p_col).agg(F.count("*").alias("_n"))
-    up = Window.orderBy(p_col).rowsBetween(Window.unboundedPreceding, 0)
-    down = Window.orderBy(p_col).rowsBetween(0, Window.unboundedFollowing)
-    m = F.sum("_n").over(Window.partitionBy(F.lit(1)))
-    ranked = values.withColumn("_raw", F.col(p_col) * m / F.sum("_n").over(up))
-    ranked = ranked.select(F.col(p_col).alias("_p"), F.least(F.min("_raw").over(down), F.lit(1.0)).alias("_adj"))
+    values = ranged(real.groupBy(F.col(p_col).alias("_p")).agg(F.count("*").alias("_n")), "_p")
+    ranked = running(values, "_p", "sum", "_n", "_r")
+    m = values.agg(F.sum("_n").alias("_m"))
+    raw = ranked.crossJoin(F.broadcast(m)).withColumn("_raw", F.col("_p") * F.col("_m") / F.col("_r"))
+    ranked = running(raw, "_p", "min", "_raw", "_low", backwards=True).select("_p", F.least("_low", F.lit(1.0)).alias("_adj"))
     return table.join(ranked, F.col(p_col) == F.col("_p"), "left").withColumn(out, F.coalesce("_adj", F.col(p_col))).drop("_p", "_adj")
 
 
@@ -119,8 +120,8 @@ def keyness(
 ) -> DataFrame:
     """The two-sided table, strongest first. min_count is on the sum of both counts."""
     require_documents(a, b)
-    n_a, n_b = totals(a, b)
-    counts = side_counts(a, b).filter(F.col("count_a") + F.col("count_b") >= min_count)
+    counts, (n_a, n_b) = with_totals(side_counts(a, b), ("count_a", "count_b"), (a, b))
+    counts = counts.filter(F.col("count_a") + F.col("count_b") >= min_count)
     table = statistics(without(counts, stop_words), n_a, n_b, method, formula, effect_size)
     if dispersion:
         for side, name in ((a, "dispersion_a"), (b, "dispersion_b")):
@@ -150,13 +151,13 @@ def keyness_multi(
     if multiple_comparisons not in CORRECTIONS:
         raise ValueError(f"a correction is one of {', '.join(CORRECTIONS)}, not {multiple_comparisons!r}")
     require_documents(*corpora)
-    sizes = totals(*corpora)
     every = None
     for i, c in enumerate(corpora):
         own = c.terms().select("term", F.lit(i).alias("i"))
         every = own if every is None else every.unionByName(own)
     names = [f"count_{x}" for x in labels]
     counts = every.groupBy("term").agg(*[F.sum((F.col("i") == i).cast("long")).alias(n) for i, n in enumerate(names)])
+    counts, sizes = with_totals(counts, names, corpora)
     columns = [F.col(f"`{n}`") for n in names]
     counts = without(counts.filter(sum(columns[1:], columns[0]) >= min_count), stop_words)
     table = counts.withColumn("g2", stats.g2_many(columns, sizes))
@@ -178,8 +179,7 @@ def against_baseline(
 ) -> DataFrame:
     """Keyness against a frequency list; its total includes what the list left out."""
     require_documents(corpus)
-    (n_a,) = totals(corpus)
-    own = corpus.terms().groupBy("term").agg(F.count("*").alias("count_a"))
+    own, (n_a,) = with_totals(corpus.terms().groupBy("term").agg(F.count("*").alias("count_a")), ("count_a",), (corpus,))
     other = baseline.counts.select("term", F.col("count").alias("count_b"))
     both = own.join(other, "term", "full_outer").na.fill(0, ["count_a", "count_b"]).filter(F.col("count_a") + F.col("count_b") >= min_count)
     table = statistics(without(both, stop_words), n_a, baseline.total_tokens, method, formula, effect_size, with_p)

@@ -1,7 +1,7 @@
 """Lexical diversity: of a corpus, by period, and of each document.
 
 Pooled measures see the corpus as one stream of tokens in order of its ids. Positions in the stream
-come from two-level sums, the moving ratio from one window by term, and MTLD, which is sequential by
+come from two-level sums, the moving ratio from blocks that overlap, and MTLD, which is sequential by
 nature, from two passes that hold the types of the current factor only.
 """
 
@@ -21,6 +21,8 @@ from corpuscle.operators.corpus import Corpus, period_label, unit_of
 from corpuscle.plans.storage import written
 
 METRICS = ("ttr", "mattr", "mtld", "hdd")
+#: Positions of a stream that one task looks at.
+BLOCK = 65_536
 
 # kernels on one token list
 
@@ -168,7 +170,7 @@ def stream(corpus: Corpus, group: str | None = None) -> DataFrame:
     sizes = placed.groupBy("grp", "part").agg(F.sum(F.size("tokens")).alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("grp").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = sizes.select("grp", "part", before.alias("start"))
-    own = F.coalesce(F.sum(F.size("tokens")).over(Window.partitionBy("grp", "part").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    own = F.coalesce(F.sum(F.size("tokens")).over(Window.partitionBy("grp", "part").orderBy("key", "tokens").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offset = placed.withColumn("own", own).join(F.broadcast(starts), ["grp", "part"])
     return offset.select("grp", (F.col("start") + F.col("own")).alias("at"), F.posexplode("tokens").alias("i", "term")).select(
         "grp", (F.col("at") + F.col("i")).cast("long").alias("pos"), "term"
@@ -176,10 +178,18 @@ def stream(corpus: Corpus, group: str | None = None) -> DataFrame:
 
 
 def pooled_mattr(tokens: DataFrame, window: int = 100) -> DataFrame:
-    """(grp, mattr): each token counts in the windows in which it is the first of its type."""
+    """(grp, mattr): each token counts in the windows in which it is the first of its type.
+
+    The stream is cut to blocks of positions that share a window's length: an earlier occurrence counts
+    only within the window, so a block needs no more, and a common word is not one task's.
+    """
+    size = max(BLOCK, 4 * window)
     n = tokens.groupBy("grp").agg(F.count("*").alias("n"), F.countDistinct("term").alias("types"))
-    prev = F.coalesce(F.lag("pos").over(Window.partitionBy("grp", "term").orderBy("pos")), F.lit(-1))
-    rows = tokens.withColumn("prev", prev).join(F.broadcast(n), "grp")
+    own = F.floor(F.col("pos") / size)
+    later = F.when(F.pmod("pos", F.lit(size)) > size - window, F.array(own, own + 1)).otherwise(F.array(own))
+    spread = tokens.withColumn("block", F.explode(later))
+    prev = F.coalesce(F.lag("pos").over(Window.partitionBy("grp", "block", "term").orderBy("pos")), F.lit(-1))
+    rows = spread.withColumn("prev", prev).filter(F.col("block") == own).join(F.broadcast(n), "grp")
     first = F.greatest(F.col("pos") - (window - 1), F.col("prev") + 1, F.lit(0))
     windows = F.greatest(F.least(F.col("pos"), F.col("n") - window) - first + 1, F.lit(0))
     sums = rows.groupBy("grp", "n", "types").agg(F.sum(windows).alias("s"))

@@ -50,19 +50,28 @@ def keyed_permutation(index: np.ndarray, n: int, key: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
+def _stream(salt: int, n: int) -> np.ndarray:
+    """n hashed numbers that any engine with 64-bit arithmetic can make."""
+    with np.errstate(over="ignore"):
+        return _mix(np.arange(n, dtype=np.uint64) + _mix(np.array([salt % (1 << 64)], np.uint64)))
+
+
 @lru_cache(maxsize=4)
 def _label_table(n: int, n_a: int, replicates: int, seed: int) -> np.ndarray:
-    table = np.empty((n, replicates), np.int8)
+    """Side a gets the n_a units whose numbers are least."""
+    table = np.zeros((n, replicates), np.int8)
     for b in range(replicates):
-        table[:, b] = np.random.default_rng([seed, b]).permutation(n) < n_a
+        table[np.argsort(_stream(seed * 1_000_003 + b + 1, n), kind="stable")[:n_a], b] = 1
     return table
 
 
 @lru_cache(maxsize=4)
 def _draw_table(n: int, replicates: int, seed: int, side: int) -> np.ndarray:
-    table = np.empty((n, replicates), np.int8)
+    """n draws with replacement: the numbers modulo n."""
+    table = np.empty((n, replicates), np.int16)
     for b in range(replicates):
-        table[:, b] = np.minimum(np.bincount(np.random.default_rng([seed, b, side]).integers(0, n, n), minlength=n), 127)
+        drawn = _stream(seed * 1_000_003 + 2 * b + side + 500_009, n) % _U(n)
+        table[:, b] = np.minimum(np.bincount(drawn.astype(np.int64), minlength=n), 32767)
     return table
 
 
@@ -114,6 +123,11 @@ def dense_index(df: DataFrame, key: str, parts: int = 256) -> DataFrame:
     return keys.join(F.broadcast(starts), "_part").select(key, (F.col("_start") + own).alias("index"))
 
 
+def ranked_index(df: DataFrame, key: str) -> DataFrame:
+    """(key, index): the place of each different key in their order; for tables of bounded size."""
+    return df.select(key).distinct().select(key, (F.row_number().over(Window.orderBy(key)) - 1).cast("long").alias("index"))
+
+
 def _units(side: Corpus, cluster_col: str | None) -> str:
     if cluster_col is None:
         return side.need_id("resampling")
@@ -122,16 +136,20 @@ def _units(side: Corpus, cluster_col: str | None) -> str:
     return cluster_col
 
 
-def _prepare(a: Corpus, b: Corpus, terms: DataFrame | None, cluster_col: str | None, denominator: str, pooled: bool):
-    """(cells: term, side, index, n; sizes: side, index, size; units of a; units of b)."""
+def _prepare(a: Corpus, b: Corpus, terms: DataFrame | None, cluster_col: str | None, denominator: str, pooled: bool, replicates: int):
+    """(cells: term, side, index, n; sizes: side, index, size; units of a; units of b).
+
+    Units whose weights fit a table are numbered in their order, others without one task that sees all.
+    """
     if denominator not in ("kept", "full"):
         raise ValueError("denominator is 'kept' or 'full'")
     cells = sizes = None
     counts = []
     for s, side in enumerate((a, b)):
         key = _units(side, cluster_col)
-        units = written(dense_index(side.df, key))
-        counts.append(units.count())
+        n = side.df.select(key).distinct().count()
+        units = written((ranked_index if n * replicates <= TABLE_CELLS else dense_index)(side.df, key))
+        counts.append(n)
         if counts[-1] == 0:
             raise ValueError(f"{side.label} holds no documents")
         shift = counts[0] if pooled and s else 0
@@ -202,7 +220,7 @@ def permutation_pvalues(
     """
     if n_permutations < 1:
         raise ValueError("at least one permutation is needed")
-    cells, sizes, units_a, units_b = _prepare(a, b, terms, None, denominator, pooled=True)
+    cells, sizes, units_a, units_b = _prepare(a, b, terms, None, denominator, True, n_permutations)
     n, reps = units_a + units_b, n_permutations
 
     def on_a(side: int, index: np.ndarray) -> np.ndarray:
@@ -239,7 +257,7 @@ def bootstrap_g2_ci(
         raise ValueError("at least one replicate is needed")
     if not 0 < ci_level < 1:
         raise ValueError("ci_level lies between 0 and 1")
-    cells, sizes, units_a, units_b = _prepare(a, b, terms, cluster_col, denominator, pooled=False)
+    cells, sizes, units_a, units_b = _prepare(a, b, terms, cluster_col, denominator, False, n_boot)
     units = (units_a, units_b)
 
     def weights(side: int, index: np.ndarray) -> np.ndarray:

@@ -34,6 +34,14 @@ class HashEmbedder:
         return rows
 
 
+@dataclass(frozen=True)
+class LetterEmbedder:
+    """How often each letter from a to z is in a text: a crude form vector that needs no model."""
+
+    def encode(self, texts: Sequence[str]) -> np.ndarray:
+        return np.array([[t.count(c) for c in "abcdefghijklmnopqrstuvwxyz"] for t in texts], float).reshape(len(texts), 26)
+
+
 @dataclass(frozen=True)
 class ModelEmbedder:
     """Any model with encode(list of texts) -> array; load() is called once in each worker."""

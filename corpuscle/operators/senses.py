@@ -28,8 +28,12 @@ from corpuscle.plans.storage import written
 STOP = frozenset("the and for that with this from are was were have has had not but they you his her its our their which who will would can".split())
 #: Rows of a block in a nearest-neighbour search.
 BLOCK = 4096
-#: Rows that Ward clustering and silhouettes look at.
+#: Rows that silhouettes look at, and up to which Ward clustering takes each by itself; and its small clusters beyond.
 SAMPLE = 2000
+MICRO = 500
+#: Rows that a search index is fitted on at most, and its cells.
+INDEX_SAMPLE = 50_000
+INDEX_CELLS = 1024
 
 
 def unit(v: Column) -> Column:
@@ -65,12 +69,14 @@ def silhouette(x: np.ndarray, labels: np.ndarray) -> float:
     return float(s.mean())
 
 
-def ward(x: np.ndarray, k: int) -> np.ndarray:
-    """Labels of k clusters by Ward's criterion, on a few thousand rows."""
+def ward(x: np.ndarray, k: int, weights: np.ndarray | None = None) -> np.ndarray:
+    """Labels of k clusters by Ward's criterion, on a few thousand rows; a weight is how many rows one stands for."""
     n = len(x)
-    d = ((x[:, None] - x[None]) ** 2).sum(-1) / 2
+    size, alive, label = np.ones(n) if weights is None else np.asarray(weights, float), np.ones(n, bool), np.arange(n)
+    size = size.copy()
+    square = (x**2).sum(axis=1)
+    d = np.maximum(square[:, None] + square[None] - 2 * x @ x.T, 0) * (size[:, None] * size[None] / (size[:, None] + size[None]))
     np.fill_diagonal(d, np.inf)
-    size, alive, label = np.ones(n), np.ones(n, bool), np.arange(n)
     for _ in range(n - k):
         i, j = divmod(int(d.argmin()), n)
         i, j = min(i, j), max(i, j)
@@ -85,6 +91,12 @@ def ward(x: np.ndarray, k: int) -> np.ndarray:
     return np.searchsorted(np.unique(label), label)
 
 
+def _nearest_rows(x: np.ndarray, near: np.ndarray) -> np.ndarray:
+    """The number of the nearest row of near, in blocks of bounded size."""
+    square = (near**2).sum(axis=1)
+    return np.concatenate([(square[None] - 2 * x[a : a + 512] @ near.T).argmin(axis=1) for a in range(0, len(x), 512)])
+
+
 def nearest(x: Column, centroids: np.ndarray) -> Column:
     """struct(sense, distance): the nearest centroid in Euclidean distance."""
 
@@ -138,7 +150,8 @@ def induce_senses(
 ) -> SenseResult:
     """Cluster the embeddings; without k the number with the best silhouette on a sample.
 
-    Agglomerative clustering looks at a sample, then every row goes to the nearest of its centroids.
+    Agglomerative clustering sees every row up to SAMPLE of them. Beyond, all rows are summed up as
+    MICRO small clusters, which Ward's criterion joins by their sizes; a row goes with its small cluster.
     """
     if method not in ("kmeans", "agglomerative"):
         raise ValueError(f"unknown method {method!r}")
@@ -153,25 +166,47 @@ def induce_senses(
     if total < (k or k_range[0]):
         raise ValueError("fewer rows than senses")
     # a fixed number of rows, in the order of a hash
-    sample = np.stack(rows.select("x", F.xxhash64(id_col, F.lit(random_state)).alias("h")).orderBy("h").limit(SAMPLE).toPandas()["x"])
-
-    def fit(n: int) -> np.ndarray:
-        if method == "kmeans":
-            return kmeans_centroids(rows, n, random_state, restarts)
-        labels = ward(sample, n)
-        return np.stack([np.average(sample[labels == g], axis=0) for g in range(n)])
+    seen = rows.select(F.col(id_col).alias("id"), "x", F.xxhash64(id_col, F.lit(random_state)).alias("h")).orderBy("h").limit(SAMPLE).toPandas()
+    sample = np.stack(seen["x"])
+    merge = method == "agglomerative"
+    if merge and total > SAMPLE:
+        micro = kmeans_centroids(rows, min(MICRO, total), random_state, 1)
+        counts = rows.select(nearest(F.col("x"), micro)["sense"].alias("m")).groupBy("m").count().collect()
+        weights = np.zeros(len(micro))
+        for r in counts:
+            weights[r["m"]] = r["count"]
+        micro, weights = micro[weights > 0], weights[weights > 0]
+    elif merge:
+        micro, weights = sample, np.ones(len(sample))
+
+    def fit(n: int) -> tuple[np.ndarray, np.ndarray | None]:
+        """Centroids, and in merging the sense of each small cluster."""
+        if not merge:
+            return kmeans_centroids(rows, n, random_state, restarts), None
+        labels = ward(micro, n, weights)
+        return np.stack([np.average(micro[labels == g], axis=0, weights=weights[labels == g]) for g in range(n)]), labels
+
+    def senses_of(x: np.ndarray, c: np.ndarray, labels: np.ndarray | None) -> np.ndarray:
+        near = c if labels is None else micro
+        at = np.linalg.norm(x[:, None] - near[None], axis=2).argmin(axis=1) if len(near) <= 1000 else _nearest_rows(x, near)
+        return at if labels is None else labels[at]
 
     if k is None:
         tried = {}
         for n in range(k_range[0], min(k_range[1], len(sample) - 1) + 1):
-            c = fit(n)
-            labels = np.linalg.norm(sample[:, None] - c[None], axis=2).argmin(axis=1)
-            tried[n] = (silhouette(sample, labels) if len(np.unique(labels)) == n else float("nan"), c)
+            c, own = fit(n)
+            labels = senses_of(sample, c, own)
+            tried[n] = (silhouette(sample, labels) if len(np.unique(labels)) == n else float("nan"), c, own)
         k = max(tried, key=lambda n: (-np.inf if np.isnan(tried[n][0]) else tried[n][0], -n))
-        centroids = tried[k][1]
+        _, centroids, own = tried[k]
     else:
-        centroids = fit(k)
-    got = written(rows.withColumn("sense", nearest(F.col("x"), centroids)["sense"]))
+        centroids, own = fit(k)
+
+    @F.pandas_udf("int")
+    def sense(v: pd.Series) -> pd.Series:
+        return pd.Series(senses_of(np.stack(v), centroids, own).astype(np.int32) if len(v) else np.empty(0, np.int32))
+
+    got = written(rows.withColumn("sense", sense("x")))
     clusters = got.groupBy("sense").agg(F.count("*").alias("size")).withColumn("share", F.col("size") / float(total))
     if text_col:
         clusters = clusters.join(top_terms(got, "sense", text_col), "sense", "left")
@@ -458,19 +493,51 @@ def sense_drift(
 # nearest neighbours
 
 
-def knn_novelty(queries: DataFrame, prior: DataFrame, k: int = 10, earlier_only: bool = False, block: int = BLOCK) -> DataFrame:
+def knn_index(prior: DataFrame, cells: int | None = None, seed: int = 42) -> np.ndarray:
+    """Centroids of cells for a search: k-means on at most INDEX_SAMPLE rows (id, x), in the order of a hash."""
+    n = prior.count()
+    cells = cells or max(1, min(INDEX_CELLS, int(np.sqrt(n) / 2)))
+    sample = prior.select("x", F.xxhash64("id", F.lit(seed)).alias("h")).orderBy("h").limit(INDEX_SAMPLE)
+    return kmeans_centroids(sample, min(cells, n), seed, 1)
+
+
+def knn_novelty(
+    queries: DataFrame, prior: DataFrame, k: int = 10, earlier_only: bool = False, block: int = BLOCK, index: np.ndarray | None = None, probes: int = 8
+) -> DataFrame:
     """(id, novelty): 1 - mean cosine to the k nearest rows of prior; never the row itself.
 
     Both are (id, period, x) with unit vectors. Queries and priors meet block by block, so a task holds
     one block of each; only the k best of each block go on. With earlier_only, prior rows must be of an
     earlier period; a query without any scores 0.
+
+    Without an index every query meets every prior row: exact, and work as the product of both. With one
+    (knn_index) each prior row is in its nearest cell, and a query looks into the `probes` nearest cells.
     """
-    n_q = max(1, -(-queries.count() // block))
-    n_p = max(1, -(-prior.count() // block))
-    part = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-    q = queries.select("id", "period", "x", part(n_q).alias("qb")).withColumn("pb", F.explode(F.sequence(F.lit(0), F.lit(n_p - 1))))
-    p = prior.select("id", "period", "x", part(n_p).alias("pb")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))))
     kind = queries.schema["id"].dataType.simpleString()
+    if index is None:
+        q, p = (df.select(*[F.col(c).alias(c) for c in ("id", "period", "x")], F.lit(0).alias("cell")) for df in (queries, prior))
+    else:
+        probes = min(probes, len(index))
+        square = (index**2).sum(axis=1)
+
+        def cells(n: int):
+            @F.pandas_udf("array<int>")
+            def run(v: pd.Series) -> pd.Series:
+                d = square[None] - 2 * np.stack(v) @ index.T
+                return pd.Series(list(np.argpartition(d, min(n, d.shape[1] - 1), axis=1)[:, :n].astype(np.int32)))
+
+            return run("x")
+
+        q = written(queries.select("id", "period", "x", F.explode(cells(probes)).alias("cell")))
+        p = written(prior.select("id", "period", "x", F.explode(cells(1)).alias("cell")))
+    # as many numbers as cells: a full cell is cut to blocks
+    blocks = lambda df: {r["cell"]: -(-r["count"] // block) for r in df.groupBy("cell").count().collect()}
+    of_q, of_p = blocks(q), blocks(p)
+    listed = [(c, of_q.get(c, 1), of_p.get(c, 1)) for c in sorted({0, *of_q, *of_p})]
+    sizes = F.broadcast(queries.sparkSession.createDataFrame(listed, "cell int, n_q int, n_p int"))
+    part = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    q = q.join(sizes, "cell").select(*[F.col(c).alias(c) for c in ("id", "period", "x", "cell")], part("n_q").alias("qb"), F.explode(F.sequence(F.lit(0), F.col("n_p") - 1)).alias("pb"))
+    p = p.join(sizes, "cell").select(*[F.col(c).alias(c) for c in ("id", "period", "x", "cell")], part("n_p").alias("pb"), F.explode(F.sequence(F.lit(0), F.col("n_q") - 1)).alias("qb"))
 
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a):
@@ -485,7 +552,8 @@ def knn_novelty(queries: DataFrame, prior: DataFrame, k: int = 10, earlier_only:
         best = -np.sort(-np.partition(sims, sims.shape[1] - m, axis=1)[:, -m:], axis=1)
         return pd.DataFrame({"id": a["id"], "best": [r[np.isfinite(r)].tolist() for r in best]})
 
-    met = q.groupBy("qb", "pb").cogroup(p.groupBy("qb", "pb")).applyInPandas(run, f"id {kind}, best array<double>")
+    keys = ["cell", "qb", "pb"]
+    met = q.groupBy(*keys).cogroup(p.groupBy(*keys)).applyInPandas(run, f"id {kind}, best array<double>")
     top = met.groupBy("id").agg(F.slice(F.sort_array(F.flatten(F.collect_list("best")), asc=False), 1, k).alias("best"))
     mean = F.aggregate("best", F.lit(0.0), lambda s, v: s + v) / F.nullif(F.size("best"), F.lit(0))
     return top.select("id", F.coalesce(1 - mean, F.lit(0.0)).alias("novelty"))

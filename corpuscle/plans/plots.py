@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from corpuscle.functions.text import positions
 from corpuscle.operators.corpus import Corpus
 from corpuscle.operators.keyness import side_counts
+from corpuscle.plans.storage import ranged, running
 
 
 def volcano(keyness: DataFrame) -> DataFrame:
@@ -25,10 +26,9 @@ def bar(keyness: DataFrame, n: int = 20, score: str = "g2") -> DataFrame:
 
 def percent_rank(df: DataFrame, col: str, out: str) -> DataFrame:
     """Rank as a share of the rows, ties at their mean; ranks come from a table of different values."""
-    values = df.groupBy(col).agg(F.count("*").alias("_k"))
-    order = Window.orderBy(col).rowsBetween(Window.unboundedPreceding, 0)
-    n = F.sum("_k").over(Window.partitionBy(F.lit(1)))
-    ranked = values.select(F.col(col).alias("_v"), ((F.sum("_k").over(order) - (F.col("_k") - 1) / 2) / n).alias(out))
+    values = ranged(df.groupBy(F.col(col).alias("_v")).agg(F.count("*").alias("_k")), "_v")
+    up = running(values, "_v", "sum", "_k", "_up").crossJoin(F.broadcast(values.agg(F.sum("_k").alias("_all"))))
+    ranked = up.select("_v", ((F.col("_up") - (F.col("_k") - 1) / 2) / F.col("_all")).alias(out))
     return df.join(ranked, F.col(col) == F.col("_v")).drop("_v")
 
 

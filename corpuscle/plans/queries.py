@@ -5,13 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuscle.functions import stats
 from corpuscle.operators import collocation, keyness, lexical, matching, resampling, semantic, senses, temporal
 from corpuscle.operators.corpus import Corpus, before_after
-from corpuscle.plans import plots
+from corpuscle.plans import oracles, plots
+from corpuscle.plans.compare import compare
 from corpuscle.sources import baselines, readers, speeches
 from corpuscle.streaming import online
 
@@ -19,11 +22,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
-TOKENS = r"regexp_extract_all(lower(nfc_normalize(coalesce({0}, ''))), '[\p{{L}}\p{{N}}_]+')"
-
-
-def tok(col: str = "text") -> str:
-    return TOKENS.format(col)
+tok = oracles.tok
 
 
 def query(name: str, sql: str | None = None):
@@ -153,12 +152,13 @@ def _(spark, d):
 SELECT term, count_a, count_b, {rnd('na * (a + b) / (na + nb)', 'expected_a')}, {rnd('nb * (a + b) / (na + nb)', 'expected_b')}, {rnd(_g2(), 'g2')},
   {rnd('log2(((a + 0.5) / na) / ((b + 0.5) / nb))', 'log_ratio')},
   CASE WHEN b = 0 THEN NULL ELSE round((a / na - b / nb) / (b / nb) * 100, 6) + 0.0 END AS percent_diff,
-  round(least((abs({_g2()}) - ln(na + nb)) / 2, 50), 6) + 0.0 AS log_bayes_factor FROM x""")
+  round(least((abs({_g2()}) - ln(na + nb)) / 2, 700), 6) + 0.0 AS log_bayes_factor FROM x""")
 def keyness_log_likelihood(spark, d):
-    """Infinite changes are null here, and Bayes factors are logarithms, so that both engines print them alike."""
+    """Infinite changes are null here, and Bayes factors are logarithms (up to 700, beyond which the
+    factor itself is no double), so that both engines print them alike."""
     a, b = en_de(spark, d)
     t = keyness.keyness(a, b, multiple_comparisons="none")
-    t = t.withColumn("log_bayes_factor", F.when(F.col("bayes_factor") > F.exp(F.lit(50.0)), 50.0).otherwise(F.ln("bayes_factor")))
+    t = t.withColumn("log_bayes_factor", F.when(F.col("bayes_factor") > F.exp(F.lit(700.0)), 700.0).otherwise(F.ln("bayes_factor")))
     t = t.withColumn("percent_diff", F.when(F.col("count_b") == 0, F.lit(None)).otherwise(F.col("percent_diff"))).drop("bayes_factor", "p_value")
     return rounded(t, "expected_a", "expected_b", "g2", "log_ratio", "percent_diff", "log_bayes_factor")
 
@@ -176,9 +176,12 @@ def _(spark, d):
     return rounded(t.select("term", "chi_squared"), "chi_squared", digits=5)
 
 
-@query("keyness_p_adjusted")
+@query("keyness_p_adjusted", oracles.KEYNESS)
 def _(spark, d):
-    return keyness.keyness(*en_de(spark, d), min_count=20, dispersion=True)
+    """Through the public verb, with p-values, their correction and dispersion."""
+    t = compare(*en_de(spark, d)).keyness(min_count=20, dispersion=True).table
+    t = t.select("term", "count_a", "count_b", "g2", "p_value", "p_adjusted", "dispersion_a", "dispersion_b", "dispersion_flag")
+    return rounded(rounded(t, "g2", "dispersion_a", "dispersion_b"), "p_value", "p_adjusted", digits=9)
 
 
 _MANY = ["de", "en", "es", "fr"]
@@ -208,10 +211,10 @@ def _(spark, d):
 
 
 @query("bh", """
-WITH p AS (SELECT doc_id, (n_chars % 1000) / 1000.0::DOUBLE AS p_value FROM documents), r AS (SELECT *, row_number() OVER (ORDER BY p_value, doc_id) AS r, count(*) OVER () AS m FROM p)
+WITH p AS (SELECT doc_id, (n_chars * 7919 + doc_id * 104729) % 1000003 / 1000003.0::DOUBLE AS p_value FROM documents), r AS (SELECT *, row_number() OVER (ORDER BY p_value, doc_id) AS r, count(*) OVER () AS m FROM p)
 SELECT doc_id, round(least(min(p_value * m / r) OVER (ORDER BY p_value, doc_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 1.0), 9) AS p_adjusted FROM r""")
 def _(spark, d):
-    p = table(spark, d, "documents").select("doc_id", ((F.col("n_chars") % 1000) / 1000.0).alias("p_value"))
+    p = table(spark, d, "documents").select("doc_id", ((F.col("n_chars") * 7919 + F.col("doc_id") * 104729) % 1000003 / 1000003.0).alias("p_value"))
     return rounded(keyness.adjusted(p, "bh").select("doc_id", "p_adjusted"), "p_adjusted", digits=9)
 
 
@@ -241,27 +244,29 @@ def _(spark, d):
     return rounded(keyness.dispersion_dp(documents(spark, d).slice(lang="en")), "dp")
 
 
-@query("permutation_pvalues")
+@query("permutation_pvalues", oracles.permutation(999, 1, 20))
 def _(spark, d):
     c = turns(spark, d)
     a, b = c.slice(role="user"), c.slice(role="assistant")
     terms = keyness.side_counts(a, b).filter("count_a + count_b >= 20")
-    return resampling.permutation_pvalues(a, b, terms, 199, seed=1)
+    return rounded(resampling.permutation_pvalues(a, b, terms, 999, seed=1), "p_permutation", digits=9)
 
 
-@query("bootstrap_ci")
+@query("bootstrap_ci", oracles.bootstrap(oracles.EN_DE, "doc_id", 999, 1, 50, True))
 def _(spark, d):
     a, b = en_de(spark, d)
     terms = keyness.side_counts(a, b).filter("count_a + count_b >= 50")
-    return resampling.bootstrap_g2_ci(a, b, terms, n_boot=999, simultaneous=True, seed=1)
+    found = resampling.bootstrap_g2_ci(a, b, terms, n_boot=999, simultaneous=True, seed=1)
+    return rounded(found, *[c for c in found.columns if c != "term"], digits=5)
 
 
-@query("bootstrap_ci_cluster")
+@query("bootstrap_ci_cluster", oracles.bootstrap(oracles.TURNS, "conv_id", 999, 1, 20, False))
 def _(spark, d):
     c = turns(spark, d)
     a, b = c.slice(role="user"), c.slice(role="assistant")
     terms = keyness.side_counts(a, b).filter("count_a + count_b >= 20")
-    return resampling.bootstrap_g2_ci(a, b, terms, n_boot=199, cluster_col="conv_id", seed=1)
+    found = resampling.bootstrap_g2_ci(a, b, terms, n_boot=999, cluster_col="conv_id", seed=1)
+    return rounded(found, "g2_ci_lower", "g2_ci_upper", digits=5)
 
 
 # collocation
@@ -373,16 +378,25 @@ def _(spark, d):
     return rounded(t, "ttr", "mattr", "hdd")
 
 
-@query("mtld")
+def known(df: DataFrame, *cols: str) -> DataFrame:
+    """NaN is null, which both engines print alike."""
+    return df.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in cols})
+
+
+@query("mtld", f"""WITH g AS (SELECT lang, flatten(list({tok()} ORDER BY doc_id)) AS w FROM documents GROUP BY lang)
+SELECT lang, round({oracles.mtld('w')}, 6) AS mtld FROM g""")
 def _(spark, d):
     from corpuscle.plans.storage import written
 
-    return lexical.pooled_mtld(written(lexical.stream(documents(spark, d), "lang"))).withColumnRenamed("grp", "lang")
+    t = lexical.pooled_mtld(written(lexical.stream(documents(spark, d), "lang"))).withColumnRenamed("grp", "lang")
+    return rounded(known(t, "mtld"), "mtld")
 
 
-@query("lexical_per_doc")
+@query("lexical_per_doc", "WITH " + oracles.diversity(f"SELECT doc_id, {tok()} AS w FROM documents WHERE len({tok()}) > 0", "doc_id") + """
+SELECT doc_id, n AS n_tokens, round(ttr, 6) AS ttr, round(mattr, 6) AS mattr, round(mtld, 6) AS mtld, round(hdd, 6) AS hdd FROM d""")
 def _(spark, d):
-    return lexical.lexical_diversity(documents(spark, d), per_doc=True)
+    t = lexical.lexical_diversity(documents(spark, d), per_doc=True)
+    return rounded(known(t, "mtld"), "ttr", "mattr", "mtld", "hdd")
 
 
 @query("hill_numbers", f"""
@@ -418,14 +432,20 @@ def _(spark, d):
     return _matched(spark, d).strata
 
 
+_KEPT = f"""SELECT quality, stratum, b, lang FROM (SELECT quality, lang || '|' || {_BINS} AS stratum, {_BINS} AS b, lang,
+  row_number() OVER (PARTITION BY quality, lang || '|' || {_BINS} ORDER BY md5('0:' || doc_id), doc_id) AS r FROM documents JOIN labels USING (doc_id) WHERE quality IN (0, 1))
+JOIN (SELECT stratum, least(count(*) FILTER (quality = 0), count(*) FILTER (quality = 1)) AS k FROM j GROUP BY 1) USING (stratum) WHERE r <= k"""
+
+
 def _l1(covariate: str, col: str) -> str:
-    return f"""SELECT '{covariate}' AS covariate, round(sum(abs(qa / na - qb / nb)) / 2, 6) AS l1_pre FROM (SELECT {col}, count(*) FILTER (quality = 0)::DOUBLE AS qa, count(*) FILTER (quality = 1)::DOUBLE AS qb FROM j GROUP BY 1),
-(SELECT count(*) FILTER (quality = 0)::DOUBLE AS na, count(*) FILTER (quality = 1)::DOUBLE AS nb FROM j)"""
+    one = lambda rows, out: f"""(SELECT round(sum(abs(qa / na - qb / nb)) / 2, 6) + 0.0 AS {out} FROM (SELECT {col}, count(*) FILTER (quality = 0)::DOUBLE AS qa, count(*) FILTER (quality = 1)::DOUBLE AS qb FROM {rows} GROUP BY 1),
+(SELECT count(*) FILTER (quality = 0)::DOUBLE AS na, count(*) FILTER (quality = 1)::DOUBLE AS nb FROM {rows}))"""
+    return f"SELECT '{covariate}' AS covariate, l1_pre, l1_post FROM {one('j', 'l1_pre')}, {one('kept', 'l1_post')}"
 
 
-@query("cem_imbalance", _STRATA + " " + " UNION ALL ".join(_l1(*x) for x in (("lang", "lang"), ("n_chars", "b"), ("(joint)", "stratum"))))
+@query("cem_imbalance", _STRATA + f", kept AS ({_KEPT}) " + " UNION ALL ".join(_l1(*x) for x in (("lang", "lang"), ("n_chars", "b"), ("(joint)", "stratum"))))
 def _(spark, d):
-    return rounded(_matched(spark, d).imbalance.select("covariate", "l1_pre"), "l1_pre")
+    return rounded(_matched(spark, d).imbalance, "l1_pre", "l1_post")
 
 
 @query("cem_matched", f"""
@@ -485,27 +505,77 @@ def _(spark, d):
     return dated(spark, d).by_time("date", "Q").docs.select(F.col("period").cast("string"), "period_label").distinct()
 
 
+def planted(spark: SparkSession, d: str) -> Corpus:
+    """The same with a word that is frequent between two known dates."""
+    c = dated(spark, d)
+    n = F.col("l_orderkey") + F.col("l_linenumber")
+    inside = (F.col("date") >= F.lit("1997-01-01").cast("timestamp")) & (F.col("date") < F.lit("1999-03-01").cast("timestamp"))
+    extra = F.when(inside & (n % 3 == 0), " surge surge").when(n % 11 == 0, " surge").otherwise("")
+    return Corpus(c.df.withColumn("p_name", F.concat("p_name", extra)), "p_name", "id")
+
+
 def _trajectory(spark, d):
-    return temporal.track(dated(spark, d), ["red", "blue", "widget"]).over_time("M")
+    return temporal.track(planted(spark, d), list(oracles.TERMS)).over_time("M")
+
+
+@query("changepoints", oracles.changepoints())
+def _(spark, d):
+    return _trajectory(spark, d).changepoints().withColumn("period", F.col("period").cast("string"))
+
+
+@query("changepoints_online", oracles.bocpd())
+def _(spark, d):
+    t = _trajectory(spark, d).changepoints_online().withColumn("period", F.col("period").cast("string"))
+    return rounded(rounded(t, "value", digits=9), "cp_probability", "cp_recent")
+
+
+@query("burstiness", oracles.burstiness())
+def _(spark, d):
+    return _trajectory(spark, d).burstiness().withColumn("period", F.col("period").cast("string"))
+
+
+@query("bursts", oracles.bursts())
+def _(spark, d):
+    t = _trajectory(spark, d).bursts(s=1.1, gamma=0.1)
+    return rounded(t.withColumns({c: F.col(c).cast("string") for c in ("start", "end")}), "mean_relfreq", digits=9)
+
+
+@query("interrupted_time_series", oracles.interrupted("1998-07-01"))
+def _(spark, d):
+    t = _trajectory(spark, d).interrupted_time_series("1998-07-01")
+    return rounded(rounded(rounded(t, "coef", "std_err", "ci_lower", "ci_upper", digits=8), "t", digits=5), "p_value")
 
 
 for _name, _run in {
-    "changepoints": lambda t: t.changepoints(),
-    "changepoints_online": lambda t: t.changepoints_online(),
-    "burstiness": lambda t: t.burstiness(),
-    "bursts": lambda t: t.bursts(s=1.1, gamma=0.1),
-    "interrupted_time_series": lambda t: t.interrupted_time_series("1998-07-01"),
-    "causal_impact": lambda t: t.causal_impact("1998-07-01", n_samples=200),
-    "causal_metrics": lambda t: t.causal_metrics("1998-07-01", n_samples=200),
+    "causal_impact": lambda t: t.causal_impact("1998-07-01"),
+    "causal_metrics": lambda t: t.causal_metrics("1998-07-01"),
     "forecast": lambda t: t.forecast(horizon=6),
     "forecast_combined": lambda t: t.to_combined(horizon=6),
 }.items():
     QUERIES[_name] = lambda spark, d, run=_run: run(_trajectory(spark, d))
 
 
-@query("lexical_trajectory")
+@query("lexical_trajectory", "WITH " + oracles.diversity(
+    f"SELECT date_trunc('year', l_shipdate)::DATE AS period, flatten(list({tok('p_name')} ORDER BY l_orderkey * 10 + l_linenumber, p_name)) AS w FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1", "period"
+) + """, r AS (SELECT period, n, t, unnest(['ttr', 'mattr', 'mtld', 'hdd']) AS metric, unnest([ttr, mattr, mtld, hdd]) AS value FROM d)
+SELECT period::VARCHAR AS period, strftime(period, '%Y') AS period_label, metric, round(value, 6) AS value, n AS n_tokens, t AS n_types FROM r""")
+def _(spark, d):
+    t = lexical.lexical_diversity(dated(spark, d), freq="Y")
+    return rounded(known(t.withColumn("period", F.col("period").cast("string")), "value"), "value")
+
+
+@query("lexical_intervals")
+def _(spark, d):
+    """Documents of a year drawn again, 199 times."""
+    df = table(spark, d, "orders").select("o_orderkey", F.col("o_orderdate").alias("date"), F.concat_ws(" ", "o_orderstatus", "o_orderpriority").alias("text")) if "o_orderpriority" in table(spark, d, "orders").columns else None
+    c = Corpus(df, "text", "o_orderkey") if df is not None else dated(spark, d)
+    return lexical.lexical_diversity(c, freq="Y", metrics=("ttr",), ci=True)
+
+
+@query("forecast_semantic_drift")
 def _(spark, d):
-    return lexical.lexical_diversity(dated(spark, d), freq="Y", metrics=("ttr", "mattr", "hdd"))
+    t = semantic.semantic_trajectory(dated(spark, d), ["red"], freq="Q", embedder=semantic.LetterEmbedder())
+    return temporal.forecast_semantic_drift(t, "Q")
 
 
 # embeddings
@@ -537,9 +607,40 @@ def _(spark, d):
     return rounded(senses.knn_novelty(v.filter("period >= 3"), v.filter("period < 3"), 10), "novelty")
 
 
-@query("knn_density_drift")
+def _density(cumulative: bool) -> str:
+    """Novelty by the ten nearest of the reference, or of all earlier periods; the cutoff from the reference within itself."""
+    near = lambda name, pairs: f"{name} AS (SELECT id, 1 - avg(s) AS nov FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY s DESC) AS k FROM ({pairs})) WHERE k <= 10 GROUP BY id)"
+    pair = lambda where: f"SELECT q.vec_id AS id, {_COS.format('q.embedding', 'r.embedding')} AS s FROM embeddings q, embeddings r WHERE q.vec_id <> r.vec_id AND {where}"
+    ref = lambda x: f"{x}.vec_id % 10 < 3"
+    own = "SELECT vec_id AS id, coalesce(nov, 0.0) AS nov FROM embeddings LEFT JOIN b ON b.id = vec_id" if cumulative else "SELECT * FROM a UNION ALL SELECT * FROM b"
+    other = "r.vec_id % 10 < q.vec_id % 10" if cumulative else f"NOT {ref('q')} AND {ref('r')}"
+    return f"""WITH {near('a', pair(ref('q') + ' AND ' + ref('r')))}, {near('b', pair(other))}, o AS ({own}), cut AS (SELECT quantile_cont(nov, 0.95) AS cut FROM a),
+p AS (SELECT id % 10 AS period, count(*) AS n, avg((nov > cut)::INT) AS d FROM o, cut GROUP BY 1), lim AS (SELECT avg(d) + 3 * stddev_samp(d) AS lim FROM p WHERE period < 3),
+f AS (SELECT *, period >= 3 AND d > lim AS raw FROM p, lim)
+SELECT period::BIGINT AS period, n, round(d, 6) AS novelty_density, raw AND (coalesce(lag(raw) OVER (ORDER BY period), false) OR coalesce(lead(raw) OVER (ORDER BY period), false)) AS drift FROM f"""
+
+
+@query("knn_density_drift", _density(False))
+def _(spark, d):
+    return rounded(spark.createDataFrame(senses.knn_density_drift(vectors(spark, d), "period", [0, 1, 2]).table), "novelty_density")
+
+
+@query("knn_density_cumulative", _density(True))
+def _(spark, d):
+    return rounded(spark.createDataFrame(senses.knn_density_drift(vectors(spark, d), "period", [0, 1, 2], mode="cumulative").table), "novelty_density")
+
+
+@query("knn_density_permuted")
+def _(spark, d):
+    r = senses.knn_density_drift(vectors(spark, d), "period", [0, 1, 2], n_permutations=9)
+    return spark.createDataFrame([(float(r.threshold), float(r.p_value))], "threshold double, p_value double")
+
+
+@query("knn_novelty_indexed")
 def _(spark, d):
-    return spark.createDataFrame(senses.knn_density_drift(vectors(spark, d), "period", [0, 1, 2]).table)
+    v = vectors(spark, d).select(F.col("doc_id").alias("id"), "period", senses.unit(F.col("embedding")).alias("x"))
+    prior = v.filter("period < 3")
+    return senses.knn_novelty(v.filter("period >= 3"), prior, 10, index=senses.knn_index(prior))
 
 
 @query("leakage_audit", """
@@ -563,33 +664,133 @@ def _(spark, d):
 
 @query("induce_senses")
 def _(spark, d):
-    return senses.induce_senses(vectors(spark, d), k=4, text_col="text", restarts=2).clusters
+    return senses.induce_senses(vectors(spark, d), k=4, text_col="text").clusters
+
+
+@query("induce_senses_merged")
+def _(spark, d):
+    return senses.induce_senses(vectors(spark, d), k=4, method="agglomerative").clusters
 
 
 @query("sense_drift")
 def _(spark, d):
-    return spark.createDataFrame(senses.sense_drift(vectors(spark, d), "period", [0, 1, 2], restarts=2).table)
+    return spark.createDataFrame(senses.sense_drift(vectors(spark, d), "period", [0, 1, 2]).table)
+
+
+@query("sense_drift_permuted")
+def _(spark, d):
+    r = senses.sense_drift(vectors(spark, d), "period", [0, 1, 2], n_permutations=9)
+    return spark.createDataFrame([(float(r.threshold), float(r.p_value))], "threshold double, p_value double")
+
+
+def labelled(spark: SparkSession, d: str) -> senses.SenseResult:
+    """Senses as if the labels were clusters, dated by their ids."""
+    df = vectors(spark, d).withColumn("sense", F.col("label").cast("int")).withColumn("date", F.date_add(F.lit("2020-01-01").cast("date"), F.col("doc_id").cast("int") * 3))
+    return senses.SenseResult(df, df.groupBy("sense").count(), np.zeros((10, 1)), 10, "doc_id")
+
+
+@query("share_over_time", """
+WITH c AS (SELECT date_trunc('year', DATE '2020-01-01' + (vec_id * 3)::INT)::DATE AS period, label AS sense, count(*) AS count FROM embeddings GROUP BY 1, 2)
+SELECT period::VARCHAR AS period, strftime(period, '%Y') AS period_label, sense::INT AS sense, count, round(count / sum(count) OVER (PARTITION BY period)::DOUBLE, 9) AS share FROM c""")
+def _(spark, d):
+    t = labelled(spark, d).share_over_time("date")
+    return rounded(t.withColumn("period", F.col("period").cast("string")), "share", digits=9)
 
 
-@query("decline_report")
+@query("contingency", "SELECT (vec_id % 4)::INT AS quarter, " + ", ".join(f'count(*) FILTER (label = {i}) AS "{i}"' for i in range(10)) + " FROM embeddings GROUP BY 1")
 def _(spark, d):
-    return senses.sense_drift(vectors(spark, d), "period", [0, 1, 2], restarts=2).decline_report()
+    r = labelled(spark, d)
+    df = r.assignments.withColumn("quarter", (F.col("doc_id") % 4).cast("int"))
+    return senses.SenseResult(df, r.clusters, r.centroids, r.k, "doc_id").contingency("quarter")
+
 
+def judged(spark: SparkSession, d: str) -> senses.DriftResult:
+    """Drift as if the labels were the nearest senses, and each seventh row were novel."""
+    df = vectors(spark, d).withColumn("nearest_sense", F.col("label").cast("int")).withColumn("novelty", F.pmod(F.col("doc_id") * 37, F.lit(101)) / 101.0).withColumn("novel", F.col("doc_id") % 7 == 0)
+    # some senses fade, one rises
+    df = df.filter((F.col("label") % 3 != 0) | (F.col("period") < 5) | (F.col("doc_id") % 4 == 0)).filter((F.col("label") != 1) | (F.col("period") > 4) | (F.col("doc_id") % 3 == 0))
+    return senses.DriftResult(pd.DataFrame(), df, (0, 1, 2), 10, 0.0, None, None)
 
-@query("semantic_shift")
+
+_JUDGED = """WITH r AS (SELECT vec_id, label::INT AS nearest, (vec_id % 10)::INT AS period, vec_id % 7 = 0 AS novel, (vec_id * 37) % 101 / 101.0::DOUBLE AS novelty FROM embeddings
+  WHERE (label % 3 <> 0 OR vec_id % 10 < 5 OR vec_id % 4 = 0) AND (label <> 1 OR vec_id % 10 > 4 OR vec_id % 3 = 0))"""
+_SENSES = """, f AS (SELECT period, s AS sense, coalesce(n, 0) AS n FROM (SELECT * FROM (SELECT DISTINCT period FROM r), (SELECT unnest(range(10))::INT AS s)) LEFT JOIN (SELECT period, nearest AS s, count(*) AS n FROM r GROUP BY ALL) USING (period, s)),
+h AS (SELECT *, n / sum(n) OVER (PARTITION BY period)::DOUBLE AS share FROM f)"""
+
+
+@query("composition", _JUDGED + """, c AS (SELECT period, CASE WHEN novel THEN -1 ELSE nearest END AS sense, count(*) AS n FROM r GROUP BY ALL)
+SELECT *, round(n / sum(n) OVER (PARTITION BY period)::DOUBLE, 9) AS share FROM c""")
 def _(spark, d):
-    return semantic.semantic_shift(*en_de(spark, d), ["in", "die", "the"])
+    return rounded(judged(spark, d).composition(), "share", digits=9)
 
 
-@query("neighborhood_drift")
+@query("sense_trajectories", _JUDGED + _SENSES + " SELECT period, sense, n, round(share, 9) AS share FROM h")
+def _(spark, d):
+    return rounded(judged(spark, d).sense_trajectories(), "share", digits=9)
+
+
+@query("decline_report", _JUDGED + _SENSES + """
+, a AS (SELECT sense, avg(share) FILTER (period < 3) AS early_share, avg(share) FILTER (period > 6) AS late_share, avg(n) FILTER (period < 3) AS early_count, avg(n) FILTER (period > 6) AS late_count FROM h GROUP BY sense),
+c AS (SELECT *, CASE WHEN early_share > 0 THEN (late_share - early_share) / early_share ELSE 0 END AS rel FROM a)
+SELECT sense, round(early_share, 9) AS early_share, round(late_share, 9) AS late_share, round(early_count, 6) AS early_count, round(late_count, 6) AS late_count, round(rel, 6) + 0.0 AS rel_share_change,
+  CASE WHEN early_share < 0.05 THEN 'minor' WHEN rel <= -0.3 THEN CASE WHEN late_count < early_count * 0.7 THEN 'obsolescence' ELSE 'dilution' END WHEN rel >= 0.3 THEN 'rising' ELSE 'stable' END AS verdict FROM c""")
+def _(spark, d):
+    t = judged(spark, d).decline_report()
+    return rounded(rounded(t, "early_share", "late_share", digits=9), "early_count", "late_count", "rel_share_change")
+
+
+@query("flagged_records", _JUDGED + " SELECT vec_id AS doc_id, period, round(novelty, 9) AS novelty FROM r WHERE novel")
+def _(spark, d):
+    return rounded(judged(spark, d).flagged_records().select("doc_id", "period", "novelty"), "novelty", digits=9)
+
+
+_WORDS = f"SELECT lang, source, {tok()} AS w FROM documents"
+
+
+@query("semantic_shift", f"""
+WITH x AS ({oracles.contexts(f"SELECT lang, {tok()} AS w FROM documents WHERE lang IN ('en', 'de')", "w[i] IN ('in', 'die', 'the')", "lang")}), c AS ({oracles.centroids("SELECT * FROM x", "lang, target")}),
+t AS (SELECT unnest(['in', 'die', 'the']) AS target), j AS (SELECT target, a.c AS ca, b.c AS cb, coalesce(a.n, 0) AS na, coalesce(b.n, 0) AS nb FROM t LEFT JOIN (SELECT * FROM c WHERE lang = 'en') a USING (target) LEFT JOIN (SELECT * FROM c WHERE lang = 'de') b USING (target))
+SELECT target, round({oracles.COS.format('ca', 'cb')}, 6) AS cosine_similarity, round(1 - {oracles.COS.format('ca', 'cb')}, 6) + 0.0 AS cosine_distance, na AS n_contexts_a, nb AS n_contexts_b FROM j""")
+def _(spark, d):
+    t = semantic.semantic_shift(*en_de(spark, d), ["in", "die", "the"], semantic.LetterEmbedder())
+    return rounded(known(t, "cosine_similarity", "cosine_distance"), "cosine_similarity", "cosine_distance")
+
+
+@query("semantic_shift_aligned")
+def _(spark, d):
+    """With the rotation of one side to the other, on hashed vectors."""
+    return semantic.semantic_shift(*en_de(spark, d), ["in", "die", "the"], align="procrustes")
+
+
+def _near(side: str, where: str) -> str:
+    rows = f"SELECT {tok()} AS w FROM documents WHERE lang = 'en' AND {where}"
+    own = f"SELECT w, i FROM (SELECT w, unnest(range(1, len(w) + 1)) AS i FROM ({rows})) WHERE w[i] = 'worthless'"
+    return f"""near{side} AS (SELECT DISTINCT v AS neighbor FROM (SELECT unnest(w[greatest(i - 5, 1) : i + 5]) AS v FROM ({own})) WHERE v <> 'worthless'),
+x{side} AS ({oracles.contexts(rows, f"w[i] = 'worthless' OR w[i] IN (SELECT neighbor FROM near{side})", "1 AS one")}), c{side} AS ({oracles.centroids(f"SELECT * FROM x{side}", "target")}),
+s{side} AS (SELECT a.target AS neighbor, {oracles.COS.format('a.c', 'b.c')} AS sim FROM c{side} a, c{side} b WHERE b.target = 'worthless' AND a.target <> 'worthless' AND a.n >= 2),
+r{side} AS (SELECT *, row_number() OVER (ORDER BY sim DESC, neighbor) AS r FROM s{side})"""
+
+
+@query("neighborhood_drift", f"""
+WITH {_near('a', "source = 'src0'")}, {_near('b', "source = 'src1'")},
+t AS (SELECT coalesce(x.neighbor, y.neighbor) AS neighbor, x.r AS rank_a, y.r AS rank_b FROM (SELECT * FROM ra WHERE r <= 10) x FULL JOIN (SELECT * FROM rb WHERE r <= 10) y ON x.neighbor = y.neighbor)
+SELECT neighbor, round(sa.sim, 6) AS sim_a, round(sb.sim, 6) AS sim_b, rank_a::DOUBLE AS rank_a, rank_b::DOUBLE AS rank_b, round(coalesce(sa.sim, 0) - coalesce(sb.sim, 0), 6) + 0.0 AS drift,
+  CASE WHEN rank_a IS NOT NULL AND rank_b IS NOT NULL THEN 'shared' WHEN rank_a IS NOT NULL THEN 'gained_in_a' ELSE 'lost_in_a' END AS status FROM t LEFT JOIN sa USING (neighbor) LEFT JOIN sb USING (neighbor)""")
 def _(spark, d):
     c = documents(spark, d).slice(lang="en")
-    return semantic.neighborhood_drift(c.slice(source="src0"), c.where("source <> 'src0'"), "worthless")
+    t = semantic.neighborhood_drift(c.slice(source="src0"), c.slice(source="src1"), "worthless", embedder=semantic.LetterEmbedder())
+    # a count that may be missing prints differently in either engine
+    return rounded(t.withColumns({c: F.col(c).cast("double") for c in ("rank_a", "rank_b")}), "sim_a", "sim_b", "drift")
 
 
-@query("semantic_trajectory")
+@query("semantic_trajectory", f"""
+WITH x AS ({oracles.contexts(f"SELECT date_trunc('year', l_shipdate)::DATE AS period, {tok('p_name')} AS w FROM lineitem JOIN part ON p_partkey = l_partkey", "w[i] = 'red'", "period")}), c AS ({oracles.centroids("SELECT * FROM x", "period")}),
+b AS (SELECT arg_min(c, period) AS base FROM c), p AS (SELECT DISTINCT date_trunc('year', l_shipdate)::DATE AS period FROM lineitem)
+SELECT period::VARCHAR AS period, strftime(period, '%Y') AS period_label, 'red' AS target, coalesce(n, 0) AS n_contexts, round({oracles.COS.format('c', 'base')}, 6) AS similarity_to_baseline,
+  round(1 - {oracles.COS.format('c', 'base')}, 6) + 0.0 AS distance_from_baseline FROM p LEFT JOIN c USING (period), b""")
 def _(spark, d):
-    return semantic.semantic_trajectory(dated(spark, d), ["red"], freq="Y")
+    t = semantic.semantic_trajectory(dated(spark, d), ["red"], freq="Y", embedder=semantic.LetterEmbedder())
+    return rounded(known(t.withColumn("period", F.col("period").cast("string")), "similarity_to_baseline", "distance_from_baseline"), "similarity_to_baseline", "distance_from_baseline")
 
 
 @query("vector_shift", f"SELECT a.vec_id::VARCHAR AS word, {rnd('1 - ' + _COS.format('a.embedding', 'b.embedding'), 'cosine_distance')} FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 10")
@@ -603,7 +804,15 @@ def _(spark, d):
 # idioms and plot data
 
 
-@query("clean_html", r"""SELECT page_id, trim(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '[\s\x{00A0}]+', ' ', 'g')) AS text FROM pages WHERE html NOT LIKE '%&%'""")
+def _html() -> str:
+    """Entities of the pages, those without a semicolon too; the ampersand itself comes last."""
+    text = r"regexp_replace(html, '<[^>]+>', ' ', 'g')"
+    for name, char in (("middot", "·"), ("copy", "©"), ("quot", '"'), ("lt", "<"), ("gt", ">"), ("amp", "&")):
+        text = f"regexp_replace({text}, '&{name};?', '{char}', 'g')"
+    return rf"SELECT page_id, trim(regexp_replace({text}, '[\s\x{{00A0}}]+', ' ', 'g')) AS text FROM pages"
+
+
+@query("clean_html", _html())
 def _(spark, d):
     return table(spark, d, "pages").select("page_id", readers.clean_html(F.col("html")).alias("text"))
 

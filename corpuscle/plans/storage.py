@@ -6,18 +6,21 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; only where it is unset, as in tests, a folder of our own."""
+    """spark.checkpoint.dir; where it is unset, in a local session only, a folder of our own."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         if found.isDefined():
             return found.get()
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="corpuscle-shared-")
         spark.sparkContext.setCheckpointDir(where)
     return where.rstrip("/")
@@ -31,6 +34,24 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def ranged(df: DataFrame, by: str) -> DataFrame:
+    """df in ranges of a column, as a table that says in _part which range a row is in."""
+    return written(df.repartitionByRange(by).withColumn("_part", F.spark_partition_id()))
+
+
+def running(rows: DataFrame, by: str, what: str, col: str, out: str, backwards: bool = False) -> DataFrame:
+    """rows of ranged() with the running sum or min of col in the order of by: what is found in a range,
+    with what all ranges before it carry over. No task sees more than a range."""
+    agg = {"sum": F.sum, "min": F.min}[what]
+    way = (lambda c: F.col(c).desc()) if backwards else F.col
+    own = agg(col).over(Window.partitionBy("_part").orderBy(way(by)).rowsBetween(Window.unboundedPreceding, 0))
+    parts = rows.groupBy("_part").agg(agg(col).alias("_t"))
+    before = agg("_t").over(Window.orderBy(way("_part")).rowsBetween(Window.unboundedPreceding, -1))
+    carried = rows.withColumn(out, own).join(F.broadcast(parts.select("_part", before.alias("_before"))), "_part")
+    whole = F.coalesce("_before", F.lit(0)) + F.col(out) if what == "sum" else F.least("_before", out)
+    return carried.withColumn(out, whole).drop("_before")
+
+
 def drop_written() -> None:
     while _written:
         spark, path = _written.pop()

@@ -2,11 +2,8 @@
 
 import html
 import json
-import random
 import re
 
-import corpus_pipeline
-from corpuscle.llm import decontam
 from corpuscle.plans import queries
 from corpuscle.plans.results import Result
 
@@ -21,53 +18,9 @@ def test_clean_html_covers_all_pages(spark):
     assert len(got) == len(pages) and {r["page_id"]: r["text"] for r in got} == want
 
 
-def test_pipeline_reaches_near_copies(spark):
-    rng = random.Random(5)
-    vocabulary = [f"w{i}" for i in range(400)]
-    rows = []
-    for i in range(60):
-        words = [rng.choice(vocabulary) for _ in range(rng.choice([3, 40, 120, 300]))]
-        rows.append((i, " ".join(words)))
-        for c in range(rng.randrange(3)):
-            copy = list(words)
-            for _ in range(rng.choice([0, 1, 2, 4, 8])):
-                copy[rng.randrange(len(copy))] = "edited"
-            rows.append((100 + 3 * i + c, " ".join(copy)))
-    rows += [(900, "notice stands here for all " * 8), (901, "notice stands here for all " * 9), (902, ""), (903, None)]
-    sets = {i: {tuple(w[j : j + 5]) for j in range(max(len(w) - 4, 1))} if (w := (t or "").split()) else set() for i, t in rows}
-    least = {i: i for i in sets}
-
-    def find(i):
-        while least[i] != i:
-            i = least[i]
-        return i
-
-    ids = sorted(sets)
-    for n, a in enumerate(ids):
-        for b in ids[n + 1 :]:
-            x, y = sets[a], sets[b]
-            if (x or y) and 5 * len(x & y) >= 4 * len(x | y) or not (x or y):
-                p, q = sorted((find(a), find(b)))
-                least[q] = p
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    kept = {r["doc_id"] for r in corpus_pipeline.keep_one_of_near_copies(spark, docs, "").collect()}
-    assert kept == {i for i in ids if find(i) == i}
-
-
 def test_exports_write_all_rows(spark, tmp_path):
     result = Result(spark.range(10_500))
     assert len(json.loads(result.to_json(str(tmp_path / "all.json")))) == 10_500
     assert len(json.loads((tmp_path / "all.json").read_text())) == 10_500
     assert len(json.loads(result.to_json(limit=7))) == 7
     assert result.to_html().count("<tr") == 10_501 and result.to_html(limit=7).count("<tr") == 8
-
-
-def test_decontamination_of_null_ids(spark):
-    passage = " ".join(f"item{i}" for i in range(20))
-    docs = spark.createDataFrame([(None, f"before {passage} after"), (1, passage), (2, "clean words")], "doc_id long, text string")
-    benchmark = spark.createDataFrame([(7, passage)], "item_id long, text string")
-    got = []
-    for rows in (decontam.BROADCAST_ROWS, 0):
-        found = decontam.contamination(docs, benchmark, broadcast_rows=rows).select("doc_id", "n_words", "n_hit", "contaminated")
-        got.append(sorted(map(tuple, found.collect()), key=str))
-    assert got[0] == got[1] == [(1, 20, 20, True), (2, 2, 0, False), (None, 22, 20, True)]
