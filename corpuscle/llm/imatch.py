@@ -12,13 +12,16 @@ in which neither text has more than two terms and one has some; else among all t
 Texts without any lexicon term are compared by all their terms.
 
 Edge cases: null counts as the empty text; equal texts have equal fingerprints and likeness 1; rows of
-one id stand in the order of a hash of their texts; null ids come last; other columns aren't read.
+one id stand in the order of a hash of their texts; ids are numbers, strings, dates or bytes; null ids
+come last; a single document is followed by itself; an empty table gives an empty table; other columns
+aren't read.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -35,9 +38,10 @@ MOST_SHARE = 1 / 20
 LEVELS = 12
 DRAWS = 16
 SETS = 1 + LEVELS * DRAWS
-#: Rows of one bucket of neighbouring ids, while there are fewer buckets than MOST_BUCKETS.
+#: Rows of one bucket of neighbouring ids. Beyond MOST_BUCKETS, whose bounds every worker holds, buckets
+#: grow; a bucket streams through its task, sorted on disk, so its size bounds no memory.
 BUCKET_ROWS = 5_000
-MOST_BUCKETS = 10_000
+MOST_BUCKETS = 100_000
 TOKEN = re.compile(r"\w+")
 
 
@@ -52,11 +56,9 @@ class _Codes(dict):
 
 
 def term_codes(text: str, codes: _Codes) -> np.ndarray:
-    """The sorted distinct terms of a text, as 64-bit codes."""
+    """The distinct terms of a text, as 64-bit codes."""
     words = set(TOKEN.findall(text.lower()))
-    got = np.fromiter(map(codes.__getitem__, words), np.uint64, len(words))
-    got.sort()
-    return got
+    return np.fromiter(map(codes.__getitem__, words), np.uint64, len(words))
 
 
 @dataclass(frozen=True)
@@ -100,35 +102,40 @@ def lexicon(df: DataFrame, text_col: str = "text", least: float = LEAST_SHARE, m
 def fingerprint_table(texts: list[str], lex: Lexicon, codes: _Codes) -> np.ndarray:
     """A row of SETS 16-bit numbers for each text: 4 bits of the count, 12 of the hash; 0: an empty set."""
     out = np.zeros((len(texts), SETS), np.uint16)
-    found, sizes = [], []
-    for n, text in enumerate(texts):
-        own = term_codes(text, codes)
-        at = np.searchsorted(lex.codes, own)
-        at[at == len(lex.codes)] = 0
-        at = at[lex.codes[at] == own] if len(lex.codes) else at[:0]
-        found.append(at)
-        sizes.append(len(at))
-        if not len(at):  # all terms stand in, in every set
-            with np.errstate(over="ignore"):
-                whole = int(mixed(own).sum(dtype=np.uint64) >> np.uint64(52)) if len(own) else 0
-            out[n] = (min(15, max(1, len(own))) << 12) | whole
-    sizes = np.array(sizes)
-    full = np.flatnonzero(sizes)
-    if not len(full):
+    own = [term_codes(t, codes) for t in texts]
+    every = np.concatenate(own) if own else np.empty(0, np.uint64)
+    if len(lex.codes):
+        at = np.minimum(np.searchsorted(lex.codes, every), len(lex.codes) - 1)
+        known = lex.codes[at] == every
+    else:
+        at, known = np.zeros(len(every), np.int64), np.zeros(len(every), bool)
+    owner = np.repeat(np.arange(len(texts)), [len(x) for x in own])[known]
+    at = at[known]
+    for n in np.flatnonzero(np.bincount(owner, minlength=len(texts)) == 0):  # all terms stand in, in every set
+        with np.errstate(over="ignore"):
+            whole = int(mixed(own[n]).sum(dtype=np.uint64) >> np.uint64(52)) if len(own[n]) else 0
+        out[n] = (min(15, max(1, len(own[n]))) << 12) | whole
+    if not len(at):
         return out
-    at = np.concatenate([found[i] for i in full])
-    starts = np.cumsum(sizes[full]) - sizes[full]
-    with np.errstate(over="ignore"):
-        for s in range(SETS):
-            if s == 0:
-                inside, salt = np.ones(len(at), bool), 0
-            else:
-                r, level = divmod(s - 1, LEVELS)
-                inside, salt = lex.levels[r][at] >= level + 1, s
-            value = np.where(inside, mixed(lex.codes[at] + np.uint64(salt)), np.uint64(0))
-            total = np.add.reduceat(value, starts) >> np.uint64(52)
-            count = np.minimum(np.add.reduceat(inside.astype(np.int64), starts), 15)
-            out[full, s] = np.where(count > 0, (count.astype(np.uint64) << np.uint64(12)) | total, 0).astype(np.uint16)
+    codes = lex.codes[at]
+
+    def put(s: int, codes: np.ndarray, owner: np.ndarray) -> None:
+        starts = np.concatenate(([0], np.flatnonzero(owner[1:] != owner[:-1]) + 1))
+        with np.errstate(over="ignore"):
+            total = np.add.reduceat(mixed(codes + np.uint64(s)), starts) >> np.uint64(52)
+        count = np.minimum(np.diff(np.append(starts, len(owner))), 15).astype(np.uint64)
+        out[owner[starts], s] = ((count << np.uint64(12)) | total).astype(np.uint16)
+
+    put(0, codes, owner)
+    for r in range(DRAWS):
+        # each level's set is part of that of the level before
+        level, c, o = lex.levels[r][at], codes, owner
+        for depth in range(1, LEVELS + 1):
+            inside = level >= depth
+            level, c, o = level[inside], c[inside], o[inside]
+            if not len(c):
+                break
+            put(r * LEVELS + depth, c, o)
     return out
 
 
@@ -160,29 +167,37 @@ def fingerprints(df: DataFrame, lex: Lexicon, text_col: str = "text") -> DataFra
 
 
 def in_id_order(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(bucket, lent, id, text) so that a bucket's rows, in order, followed by one lent row, are
-    consecutive documents by descending id; the last document is followed by the first."""
+    """(bucket, lent, given, id, text) so that a bucket's rows, in order, followed by one lent row, are
+    consecutive documents by descending id; the last document is followed by the first.
+
+    Buckets are ranges of (id, hash of the text), so an id of many texts is cut too.
+    """
     docs = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    n = docs.count()
-    pieces = min(MOST_BUCKETS, max(1, n // BUCKET_ROWS))
-    cuts = docs.select(F.percentile_approx("id", [i / pieces for i in range(1, pieces)] or [0.5], 10 * pieces)).first()[0] or []
-    edges = np.unique(np.array(cuts if pieces > 1 else [], np.int64))
+    docs = docs.withColumn("tie", F.xxhash64("text")).withColumn("given", F.col("id").isNotNull())
+    if dict(docs.dtypes)["id"] in ("tinyint", "smallint", "int", "bigint"):
+        # whole numbers with nulls would become floats on the way
+        docs = docs.withColumn("id", F.coalesce("id", F.lit(0).cast(docs.schema["id"].dataType)))
+    keys = docs.filter("given").select("id", "tie")
+    pieces = min(MOST_BUCKETS, max(1, keys.count() // BUCKET_ROWS))
+    cuts = []
+    if pieces > 1:
+        # one pair a range: where it begins
+        ranges = keys.repartitionByRange(pieces, "id", "tie").groupBy(F.spark_partition_id().alias("p"))
+        cuts = sorted(tuple(r["first"]) for r in ranges.agg(F.min(F.struct("id", "tie")).alias("first")).collect())[1:]
 
     @F.pandas_udf("int")
-    def bucket(ids: pd.Series) -> pd.Series:
-        got = len(edges) - np.searchsorted(edges, ids.fillna(0).to_numpy(np.int64), side="left")
-        return pd.Series(np.where(ids.isna(), len(edges), got))  # nulls: the last bucket
+    def bucket(ids: pd.Series, ties: pd.Series, given: pd.Series) -> pd.Series:
+        # nulls: the last bucket
+        return pd.Series([len(cuts) - bisect_right(cuts, (i, t)) if g else len(cuts) for i, t, g in zip(ids.tolist(), ties.tolist(), given)])
 
-    placed = docs.withColumn("bucket", bucket("id")).withColumn("tie", F.xxhash64("text")).withColumn("given", F.col("id").isNotNull())
-    rank = F.struct("given", "id", "tie")
+    placed = docs.withColumn("bucket", bucket("id", "tie", "given") if cuts else F.lit(0))
     heads = placed.groupBy("bucket").agg(F.max(F.struct("given", "id", "tie", "text")).alias("head"))
-    # one row a bucket: a window over all of them is small
+    # the window sees numbers of buckets alone
     around = Window.partitionBy(F.lit(1)).orderBy("bucket")
-    lent = heads.select(
-        F.coalesce(F.lag("bucket").over(around), F.max("bucket").over(Window.partitionBy(F.lit(1)))).alias("bucket"), F.lit(1).alias("lent"), "head.*"
-    )
+    to = placed.select("bucket").distinct().select("bucket", F.coalesce(F.lag("bucket").over(around), F.max("bucket").over(Window.partitionBy(F.lit(1)))).alias("to"))
+    lent = heads.join(F.broadcast(to), "bucket").select(F.col("to").alias("bucket"), F.lit(1).alias("lent"), "head.*")
     both = placed.select("bucket", F.lit(0).alias("lent"), "given", "id", "tie", "text").unionByName(lent)
-    return both.repartition("bucket").sortWithinPartitions("bucket", "lent", *[F.col(c).desc() for c in ("given", "id", "tie")]).select("bucket", "lent", "id", "text")
+    return both.repartition("bucket").sortWithinPartitions("bucket", "lent", *[F.col(c).desc() for c in ("given", "id", "tie")]).select("bucket", "lent", "given", "id", "text")
 
 
 def edited(text: str, following: str) -> str:
@@ -191,7 +206,7 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - k] + following[:k]
 
 
-_RESULT = "id {id}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+_RESULT = "given boolean, id {id}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
 def compare_with_edits(df: DataFrame, lex: Lexicon, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -214,6 +229,7 @@ def compare_with_edits(df: DataFrame, lex: Lexicon, id_col: str = "doc_id", text
         own = fingerprint_table(texts, sent.value, codes)
         other = fingerprint_table(new, sent.value, codes)
         out = pd.DataFrame({
+            "given": pdf["given"].iloc[:-1].to_numpy(),
             "id": pdf["id"].iloc[:-1].to_numpy(),
             "n_chars": [len(t) for t in texts[:-1]],
             "edited_sha256": [hashlib.sha256(t.encode()).hexdigest() for t in new],
@@ -226,4 +242,5 @@ def compare_with_edits(df: DataFrame, lex: Lexicon, id_col: str = "doc_id", text
         return out[pdf["lent"].iloc[:-1].to_numpy() == 0]
 
     kind = df.schema[id_col].dataType.simpleString()
-    return in_id_order(df, id_col, text_col).mapInPandas(run, _RESULT.format(id=kind)).withColumnRenamed("id", id_col)
+    found = in_id_order(df, id_col, text_col).mapInPandas(run, _RESULT.format(id=kind))
+    return found.select(F.when(F.col("given"), F.col("id")).alias(id_col), *[c for c in found.columns if c not in ("given", "id")])
