@@ -8,7 +8,9 @@ A sentence's features are its different words and their prefixes of 4 to 6 lette
 
 Edge cases: null and empty texts count as one sentence without words, so they get the model's base
 score; repeated rows each get their row; documents with several labels count as toxic if one says so;
-unlabelled rows and null labels are not learnt from; without any labels every score is 0.
+unlabelled rows and null labels are not learnt from; without any labels every score is 0; an empty table
+gives an empty table. score() replaces columns named score and offending; drop_toxic() keeps all columns
+as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,8 +25,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpuscle.llm.common import free
+
 #: Most labelled rows that a model is fitted on; more are thinned evenly by a hash of their id.
 MAX_ROWS = 6_000
+#: Most characters of their texts together; beyond, the rows that come last in the order of the hash are left out.
+MAX_CHARS = 48_000_000
 #: Most features of a model, those that separate best; so the model's size is bounded.
 MAX_FEATURES = 20_000
 TOKEN = re.compile(r"[^\W\d_]+|[.!?\n]+")
@@ -67,7 +73,34 @@ def _softplus(z: np.ndarray) -> np.ndarray:
     return np.logaddexp(0.0, z)
 
 
-def fit(texts: list[str], labels: list[int], rounds: int = 250, least_z: float = 4.0) -> ToxicityModel:
+@dataclass(frozen=True)
+class Bags:
+    """Documents as bags of sentences: (rows, cols) say which sentence has which feature, owner whose a
+    sentence is, plain how many sentences of a document have none, y its label."""
+
+    rows: np.ndarray
+    cols: np.ndarray
+    owner: np.ndarray
+    plain: np.ndarray
+    y: np.ndarray
+    decay: float = 1e-5
+
+    def loss_and_gradient(self, w: np.ndarray, b: float) -> tuple[float, np.ndarray]:
+        """Mean log loss of the noisy-or, P(doc) = 1 - exp(-sum softplus(score)), with decay; the bias is last."""
+        y, n = self.y, len(self.y)
+        score = np.bincount(self.rows, w[self.cols], len(self.owner)) + b
+        bag = np.bincount(self.owner, _softplus(score), n) + self.plain * _softplus(np.array(b))
+        bag = np.maximum(bag, 1e-9)
+        loss = ((1 - y) * bag - y * np.log(-np.expm1(-bag))).sum() / n + self.decay * (w @ w) / 2
+        pull = (1 - y) - y / np.expm1(np.minimum(bag, 500.0))
+        own = pull[self.owner] / (1 + np.exp(-score))
+        grad = np.empty(len(w) + 1)
+        grad[:-1] = np.bincount(self.cols, own[self.rows], len(w)) / n + self.decay * w
+        grad[-1] = (own.sum() + (pull * self.plain).sum() / (1 + np.exp(-b))) / n
+        return float(loss), grad
+
+
+def fit(texts: list[str], labels: list[int], rounds: int = 250, least_z: float = 3.0) -> ToxicityModel:
     """Full-batch training (Adam with decay of weights) on documents in memory."""
     y = np.array(labels, np.float64)
     if not len(y):
@@ -107,17 +140,11 @@ def fit(texts: list[str], labels: list[int], rounds: int = 250, least_z: float =
             else:
                 plain[d] += 1
     rows, cols, owner = np.array(rows, np.int64), np.array(cols, np.int64), np.array(owner, np.int64)
+    bags = Bags(rows, cols, owner, plain, y)
     w, b = np.zeros(len(names)), -6.0
     m, v = np.zeros(len(names) + 1), np.zeros(len(names) + 1)
     for step in range(1, rounds + 1):
-        score = np.bincount(rows, w[cols], len(owner)) + b
-        bag = np.bincount(owner, _softplus(score), len(y)) + plain * _softplus(np.array(b))
-        bag = np.maximum(bag, 1e-9)
-        pull = (1 - y) - y / np.expm1(np.minimum(bag, 500.0))
-        own = pull[owner] / (1 + np.exp(-score))
-        grad = np.empty(len(names) + 1)
-        grad[:-1] = np.bincount(cols, own[rows], len(names)) / len(y) + 1e-5 * w
-        grad[-1] = (own.sum() + (pull * plain).sum() / (1 + np.exp(-b))) / len(y)
+        _, grad = bags.loss_and_gradient(w, b)
         m = 0.9 * m + 0.1 * grad
         v = 0.99 * v + 0.01 * grad**2
         change = 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9)
@@ -125,22 +152,37 @@ def fit(texts: list[str], labels: list[int], rounds: int = 250, least_z: float =
     return ToxicityModel(float(b), {f: float(x) for f, x in zip(names, w) if abs(x) > 1e-3})
 
 
-def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", label_col: str = "toxic", max_rows: int = MAX_ROWS) -> ToxicityModel:
-    """Fit on the labelled rows of docs, or on about max_rows of them if there are more."""
-    known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).alias("_y"))
-    both = docs.select(F.col(id_col), F.col(text_col).alias("_text")).join(known, id_col)
+def train(
+    docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", label_col: str = "toxic",
+    max_rows: int = MAX_ROWS, max_chars: int = MAX_CHARS,
+) -> ToxicityModel:
+    """Fit on the labelled rows of docs, or on the first max_rows of them in the order of a hash of their
+    ids, and of these on as many as hold max_chars characters together."""
+    known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).alias("y"))
+    known = known.select(F.col(id_col).alias("id"), "y", F.xxhash64(id_col, F.lit("sample")).alias("h"))
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    both = texts.join(known, "id")
     n = both.count()
     if n > max_rows:
-        grain = 1_000_000
-        both = both.filter(F.pmod(F.xxhash64(id_col, F.lit("sample")), F.lit(grain)) < int(grain * 0.97 * max_rows / n))
-    got = both.select(id_col, "_text", "_y").limit(max_rows).toPandas().sort_values([id_col, "_text"])
-    return fit(got["_text"].tolist(), (got["_y"] > 0).astype(int).tolist())
+        # a little more than is wanted, so that only so much is sorted
+        share = min(1.0, 1.2 * (max_rows + 50) / n)
+        both = both.filter(F.pmod("h", F.lit(1_000_000)) < int(1_000_000 * share) + 1)
+    rank = (F.pmod("h", F.lit(1_000_000)), F.col("h"), F.xxhash64("text"))
+    sizes = both.select(*[c.alias(f"r{i}") for i, c in enumerate(rank)], F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n"))
+    sizes = sizes.orderBy("r0", "r1", "r2").limit(max_rows).collect()
+    rows = max(int(np.searchsorted(np.cumsum([r["n"] for r in sizes]), max_chars, side="right")), 1) if sizes else 0
+    if rows:
+        # up to the last row that is wanted; only rows alike can go beyond the limit
+        x, y, z = (F.lit(v).cast("long") for v in tuple(sizes[rows - 1])[:3])
+        both = both.filter((rank[0] < x) | (rank[0] == x) & ((rank[1] < y) | (rank[1] == y) & (rank[2] <= z)))
+    got = both.select("id", "text", "y").limit(rows).toPandas().sort_values(["id", "text"])
+    return fit(got["text"].tolist(), (got["y"] > 0).astype(int).tolist())
 
 
 class Scorer:
     """Scores texts; keeps each word's weight, for as long as a bounded table holds it."""
 
-    def __init__(self, model: ToxicityModel, words: int = 500_000):
+    def __init__(self, model: ToxicityModel, words: int = 100_000):
         self.model, self.words, self.known = model, words, {}
 
     def weight(self, word: str) -> tuple[tuple[str, float], ...]:
@@ -164,8 +206,8 @@ class Scorer:
         return out
 
 
-def score(df: DataFrame, model: ToxicityModel, text_col: str = "text") -> DataFrame:
-    """df with score (0 to 1) and offending: the numbers, from 0, of the sentences of at least the threshold."""
+def _judged(df: DataFrame, model: ToxicityModel, text_col: str, out: str) -> DataFrame:
+    """df with out: struct(score, offending)."""
     sent = df.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("struct<score:double,offending:array<int>>")
@@ -178,8 +220,14 @@ def score(df: DataFrame, model: ToxicityModel, text_col: str = "text") -> DataFr
             bad.append([int(i) for i in np.flatnonzero(z >= 0)])
         return pd.DataFrame({"score": scores, "offending": bad})
 
+    return df.withColumn(out, run(F.col(text_col)))
+
+
+def score(df: DataFrame, model: ToxicityModel, text_col: str = "text") -> DataFrame:
+    """df with score (0 to 1) and offending: the numbers, from 0, of the sentences of at least the threshold."""
     df = df.drop("score", "offending")
-    return df.withColumn("_s", run(F.col(text_col))).select(*df.columns, "_s.*")
+    (out,) = free(df, "s")
+    return _judged(df, model, text_col, out).select(*df.columns, f"{out}.*")
 
 
 def locate(df: DataFrame, model: ToxicityModel, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -204,5 +252,6 @@ def held_out(id_col: str = "doc_id"):
 
 
 def drop_toxic(df: DataFrame, model: ToxicityModel, text_col: str = "text") -> DataFrame:
-    """The rows of df whose score is below the threshold."""
-    return score(df, model, text_col).filter(F.col("score") < THRESHOLD).select(*df.columns)
+    """The rows of df whose score is below the threshold, with all their own columns."""
+    (out,) = free(df, "s")
+    return _judged(df, model, text_col, out).filter(F.col(out)["score"] < THRESHOLD).select(*df.columns)
