@@ -272,3 +272,13 @@ def contexts(rows: str, target: str, keys: str) -> str:
 
 def centroids(contexts_: str, keys: str) -> str:
     return f"""SELECT {keys}, list(x ORDER BY i) AS c, max(n) AS n FROM (SELECT {keys}, i, avg(x) AS x, count(*) AS n FROM (SELECT {keys}, unnest(v) AS x, unnest(range(26)) AS i FROM ({contexts_})) GROUP BY ALL) GROUP BY {keys}"""
+
+
+def online(rows: str) -> str:
+    """The same run lengths for given priors: mean 10, beta 10."""
+    sql = bocpd()
+    start = sql.index(", pri AS")
+    body = sql[start:].replace("list_avg(xs) AS m, greatest(list_var_samp(xs) * 0.5, 1e-6) AS b0", "10.0::DOUBLE AS m, 10.0::DOUBLE AS b0")
+    body = body[: body.index("SELECT term, ps[i]")]
+    return f"WITH l AS (SELECT term, list(x ORDER BY day) AS xs, list(day ORDER BY day) AS ps FROM ({rows}) GROUP BY term)" + body + """
+SELECT term AS key, i - 1 AS seq, xs[i] AS value, o[i].r AS map_run_length, round(o[i].q, 6) + 0.0 AS cp_recent FROM (SELECT *, unnest(range(1, len(xs) + 1)) AS i FROM f)"""

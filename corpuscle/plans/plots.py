@@ -79,3 +79,9 @@ def crossover(df: DataFrame, year: str, term: str, value: str, old: str, new: st
 def ngram_long(df: DataFrame, id_col: str, columns: Sequence[str]) -> DataFrame:
     """(ngram, year, frequency) from a column a year."""
     return df.unpivot([id_col], list(columns), "year", "frequency").select(F.col(id_col).alias("ngram"), F.col("year").cast("int").alias("year"), "frequency")
+
+
+def cube(df: DataFrame, by: Sequence[str], **aggregates) -> DataFrame:
+    """The aggregates by every subset of the groupings, null where a grouping is left out; level: how many are."""
+    level = sum((F.grouping(c) for c in by[1:]), F.grouping(by[0]))
+    return df.cube(*by).agg(*[a.alias(n) for n, a in aggregates.items()], level.cast("long").alias("level"))

@@ -56,4 +56,4 @@ def load_baseline(spark: SparkSession, name: str, folder: str) -> Baseline:
 def book_body(text: Column) -> Column:
     """What stands between a digital book's start and end markers; the whole text without them."""
     after = F.regexp_replace(text, r"(?s)^.*?\*\*\* ?START OF [^\n]*\*\*\*", "")
-    return F.trim(F.regexp_replace(after, r"(?s)\*\*\* ?END OF .*$", ""))
+    return F.regexp_replace(F.regexp_replace(after, r"(?s)\*\*\* ?END OF .*$", ""), r"^\s+|\s+$", "")
