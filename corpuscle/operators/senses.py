@@ -562,9 +562,12 @@ def knn_novelty(
 def knn_density_drift(
     df: DataFrame, time_col: str, reference: Sequence, embedding_col: str = "embedding", id_col: str = "doc_id", k: int = 10, mode: str = "reference",
     cutoff_pctile: float = 95, k_sigma: float = 3, min_run: int = 2, n_permutations: int = 0, null_pctile: float = 95, normalize: bool = True,
-    background: DataFrame | None = None, random_state: int = 42,
+    background: DataFrame | None = None, random_state: int = 42, indexed: bool = False,
 ) -> DriftResult:
-    """Periods whose records are far from their nearest neighbours in the reference, or in all earlier periods."""
+    """Periods whose records are far from their nearest neighbours in the reference, or in all earlier periods.
+
+    indexed: neighbours are sought in the nearest cells of an index instead of among all rows.
+    """
     if mode not in ("reference", "cumulative"):
         raise ValueError(f"unknown mode {mode!r}")
     if mode == "cumulative" and n_permutations:
@@ -580,12 +583,13 @@ def knn_density_drift(
         n = ref.count()
         if n < need:
             raise ValueError(f"the reference has {n} records; {need} are needed")
-        inner = written(knn_novelty(ref, ref, k))
+        inside = knn_index(ref, seed=random_state) if indexed else None
+        inner = written(knn_novelty(ref, ref, k, index=inside))
         cutoff = inner.agg(F.percentile("novelty", cutoff_pctile / 100)).first()[0]
         if how == "reference":
-            found = inner.unionByName(knn_novelty(table.filter(~is_ref), ref, k))
+            found = inner.unionByName(knn_novelty(table.filter(~is_ref), ref, k, index=inside))
         else:
-            found = knn_novelty(table, table, k, earlier_only=True)
+            found = knn_novelty(table, table, k, earlier_only=True, index=knn_index(table, seed=random_state) if indexed else None)
         return written(table.join(found, "id").withColumn("novel", F.col("novelty") > cutoff)), n
 
     def density(table: DataFrame) -> dict:

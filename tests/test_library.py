@@ -384,3 +384,102 @@ def test_registry():
     names = entry.queries()
     assert set(entry.oracle_sql()) <= set(names) and len(names) > 60
     assert os.path.exists(entry.__file__)
+
+
+# what runs over ranges, blocks and cells
+
+
+def test_running_over_ranges(spark):
+    from corpuscle.plans.storage import ranged, running
+
+    rng = random.Random(1)
+    values = [(v, rng.randint(-5, 9)) for v in rng.sample(range(1000), 200)]
+    df = ranged(spark.createDataFrame(values, "k long, x long").repartition(4), "k")
+    order = sorted(values)
+    up = {r["k"]: r["s"] for r in running(df, "k", "sum", "x", "s").collect()}
+    down = {r["k"]: r["m"] for r in running(df, "k", "min", "x", "m", backwards=True).collect()}
+    for i, (k, _) in enumerate(order):
+        assert up[k] == sum(x for _, x in order[: i + 1]) and down[k] == min(x for _, x in order[i:])
+
+
+def test_moving_ratio_across_blocks(spark, monkeypatch):
+    monkeypatch.setattr(lexical, "BLOCK", 1)
+    rng = random.Random(2)
+    tokens = {g: [rng.choice("abcdefgh") for _ in range(n)] for g, n in (("x", 150), ("y", 33), ("z", 3))}
+    df = spark.createDataFrame([(g, i, t) for g, ts in tokens.items() for i, t in enumerate(ts)], "grp string, pos long, term string")
+    got = {r["grp"]: r["mattr"] for r in lexical.pooled_mattr(df, 5).collect()}
+    assert got == {g: pytest.approx(lexical.mattr(ts, 5)) for g, ts in tokens.items()}
+
+
+def test_ward_by_weight():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(30, 3))
+    w = rng.integers(1, 4, 30)
+    small, big = senses.ward(x, 4, w), senses.ward(np.repeat(x, w, axis=0), 4)
+    assert senses.ward(x, 30).tolist() == list(range(30))
+    at = np.cumsum(w) - w
+    same = lambda v: (v[:, None] == v[None]).astype(int)
+    assert (same(small) == same(big[at])).all()
+
+
+def test_merging_sees_all_rows(spark, monkeypatch):
+    """A sense held by a handful of rows is found beyond the sample's size too."""
+    monkeypatch.setattr(senses, "SAMPLE", 40)
+    monkeypatch.setattr(senses, "MICRO", 12)
+    rng = np.random.default_rng(4)
+    centers = np.eye(3) * 10
+    labels = [0] * 150 + [1] * 150 + [2] * 5
+    rows = [(i, (centers[g] + rng.normal(scale=0.1, size=3)).tolist(), g) for i, g in enumerate(labels)]
+    df = spark.createDataFrame(rows, "doc_id long, embedding array<double>, label int")
+    for part in (df, df.filter("doc_id % 10 = 0 or label = 2")):
+        found = senses.induce_senses(part, k=3, method="agglomerative")
+        assert found.agreement_with("label")["ari"] == pytest.approx(1.0)
+
+
+def test_neighbours_through_an_index(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(400, 8)) + np.repeat(np.eye(8)[:4] * 12, 100, axis=0)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, i % 4, v.tolist()) for i, v in enumerate(x)], "id long, period int, x array<double>")
+    exact = {r["id"]: r["novelty"] for r in senses.knn_novelty(df, df, 5, block=64).collect()}
+    index = senses.knn_index(df, cells=8)
+    got = {r["id"]: r["novelty"] for r in senses.knn_novelty(df, df, 5, block=64, index=index, probes=4).collect()}
+    assert got.keys() == exact.keys() and sum(abs(got[i] - exact[i]) < 1e-9 for i in got) >= 0.9 * len(got)
+    whole = {r["id"]: r["novelty"] for r in senses.knn_novelty(df, df, 5, index=index, probes=8).collect()}
+    assert whole == {i: pytest.approx(v) for i, v in exact.items()}
+
+
+def test_hashed_replicates():
+    labels = resampling._label_table(50, 20, 99, 7)
+    assert (labels.sum(axis=0) == 20).all() and len({c.tobytes() for c in labels.T}) == 99
+    drawn = resampling._draw_table(50, 99, 7, 0)
+    assert (drawn.sum(axis=0) == 50).all() and 0.3 < (drawn == 0).mean() < 0.45
+
+
+def test_shared_folder_is_demanded_on_a_cluster():
+    from corpuscle.plans import storage
+
+    class Context:
+        master = "spark://somewhere:7077"
+
+        class _jsc:
+            @staticmethod
+            def sc():
+                class S:
+                    @staticmethod
+                    def getCheckpointDir():
+                        class No:
+                            isDefined = staticmethod(lambda: False)
+
+                        return No
+
+                return S
+
+    class Session:
+        class conf:
+            get = staticmethod(lambda *_: None)
+
+        sparkContext = Context
+
+    with pytest.raises(RuntimeError):
+        storage.shared_dir(Session)
