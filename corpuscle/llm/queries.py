@@ -28,10 +28,11 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents' places: source, then groups of 1000 and of 50 ids, then the document."""
+    """The documents' places: source, then groups of 1000 and of 50 ids, then the document; every fifth
+    document stands one directory higher, and every 25th two."""
     docs = table(spark, sf_dir, "documents")
-    group = lambda n: F.floor(F.col("doc_id") / n).cast("string")
-    path = F.concat_ws("/", "source", group(1000), group(50), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    group = lambda n, k: F.when(F.col("doc_id") % k != 0, F.floor(F.col("doc_id") / n).cast("string"))
+    path = F.concat_ws("/", "source", group(1000, 25), group(50, 5), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
     return licenses.scan(docs, path)
 
 
@@ -169,14 +170,15 @@ FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN k ON k.doc_id = w.doc_id
 
 
 def licenses_sql() -> str:
+    quoted = lambda t: t.replace("'", "''")
     rows = ", ".join(
-        f"({i}, '{licenses.TEMPLATES[i][0]}', '{t}', {n})" for i, c in enumerate(licenses.template_terms()) for t, n in sorted(c.items())
+        f"({i}, '{licenses.TEMPLATES[i][0]}', {len(licenses.TEMPLATES[i][1])}, '{quoted(t)}', {n})" for i, c in enumerate(licenses.template_terms()) for t, n in sorted(c.items())
     )
-    longest = 2 * max(len(t) for _, t in licenses.TEMPLATES)
+    lines = lambda t: f"regexp_split_to_array(regexp_replace({t}, '{licenses.SENTENCE}', '\\1\n', 'g'), '\\n+')"
     return f"""
-WITH tpl(template, license, term, n) AS (VALUES {rows}
+WITH tpl(template, license, size, term, n) AS (VALUES {rows}
 ), d AS (
-  SELECT doc_id, text, source || '/' || (doc_id // 1000) || '/' || (doc_id // 50) AS dir, doc_id || '.txt' AS file FROM documents
+  SELECT doc_id, text, concat_ws('/', source, CASE WHEN doc_id % 25 <> 0 THEN doc_id // 1000 END, CASE WHEN doc_id % 5 <> 0 THEN doc_id // 50 END) AS dir, doc_id || '.txt' AS file FROM documents
 ), total AS (SELECT count(*) AS total FROM d
 ), freq AS (
   SELECT term, count(*) AS freq
@@ -184,24 +186,27 @@ WITH tpl(template, license, term, n) AS (VALUES {rows}
 ), idf AS (
   SELECT DISTINCT term, ln((1 + total) / (1 + coalesce(freq, 0))::DOUBLE) + 1 AS idf FROM tpl LEFT JOIN freq USING (term), total
 ), norms AS (SELECT template, sqrt(sum((n * idf) ** 2)) AS norm FROM tpl JOIN idf USING (term) GROUP BY template
-), wt AS (SELECT template, license, term, n * idf / norm AS w FROM tpl JOIN idf USING (term) JOIN norms USING (template)
+), wt AS (SELECT template, license, size, term, n * idf / norm AS w FROM tpl JOIN idf USING (term) JOIN norms USING (template)
+), par AS (
+  SELECT doc_id, text, list_transform(string_split(regexp_replace(regexp_replace(text, '{licenses.MARK}', '\\1', 'g'), '{licenses.GAP}', chr(12), 'g'), chr(12)), lambda p: regexp_replace(p, '\\s*\\n\\s*', ' ', 'g')) AS par FROM d
 ), seg AS (
-  SELECT doc_id, seg, row_number() OVER () AS k
-  FROM (SELECT doc_id, unnest(regexp_split_to_array(regexp_replace(text, '([.!?])\\s+', '\\1\n', 'g'), '\\n+')) AS seg FROM d)
+  SELECT doc_id, seg, row_number() OVER () AS k FROM (
+  SELECT doc_id, unnest(list_distinct({lines("text")} || par || {lines("array_to_string(par, chr(10))")} || [regexp_replace(array_to_string(par, ' '), '\\s*\\n\\s*', ' ', 'g')])) AS seg FROM par)
 ), words AS (SELECT k, doc_id, term, count(*) AS tf FROM (SELECT k, doc_id, unnest(regexp_extract_all(lower(seg), '[\\p{{L}}\\p{{N}}]+')) AS term FROM seg) GROUP BY ALL
 ), x AS (SELECT k, doc_id, term, tf * coalesce(idf, ln(1 + total) + 1) AS x FROM words LEFT JOIN idf USING (term), total
 ), xn AS (SELECT k, sqrt(sum(x * x)) AS norm FROM x GROUP BY k
 ), s AS (
-  SELECT x.k, doc_id, template, license, round(sum(x * w) / max(norm), 6) AS score FROM x JOIN wt USING (term) JOIN xn ON xn.k = x.k
+  SELECT x.k, doc_id, template, license, size, round(sum(x * w) / max(norm), 6) AS score FROM x JOIN wt USING (term) JOIN xn ON xn.k = x.k
   GROUP BY ALL HAVING round(sum(x * w) / max(norm), 6) >= {licenses.THRESHOLD}
-), best AS (SELECT doc_id, license, score FROM s QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, template) = 1
+), best AS (SELECT doc_id, license, size, score FROM s QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, template) = 1
 ), f AS (
-  SELECT d.doc_id, dir, dir || '/' || file AS path, license, score, license IS NOT NULL AND length(text) <= {longest} AS license_file
+  SELECT d.doc_id, dir, dir || '/' || file AS path, license, score, license IS NOT NULL AND length(text) <= 2 * size + {licenses.EXTRA} AS license_file
   FROM d LEFT JOIN best USING (doc_id)
-), h AS (SELECT dir, license AS inherited FROM f WHERE license_file QUALIFY row_number() OVER (PARTITION BY dir ORDER BY score DESC, license DESC) = 1)
-SELECT doc_id, path, license, score, license_file, inherited, CASE WHEN inherited IS NOT NULL THEN f.dir END AS inherited_from,
-       coalesce(license, inherited) AS final
-FROM f LEFT JOIN h USING (dir)
+), h AS (SELECT dir AS up, license AS inherited FROM f WHERE license_file QUALIFY row_number() OVER (PARTITION BY dir ORDER BY score DESC, license DESC) = 1
+), a AS (SELECT dir, depth, array_to_string(string_split(dir, '/')[1 : depth], '/') AS up FROM (SELECT dir, unnest(range(0, len(string_split(dir, '/')) + 1)) AS depth FROM (SELECT DISTINCT dir FROM f))
+), near AS (SELECT dir, arg_max(inherited, depth) AS inherited, arg_max(up, depth) AS inherited_from FROM a JOIN h USING (up) GROUP BY dir)
+SELECT doc_id, path, license, score, license_file, inherited, inherited_from, coalesce(license, inherited) AS final
+FROM f LEFT JOIN near USING (dir)
 """
 
 
