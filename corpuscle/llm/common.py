@@ -6,7 +6,7 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Most rows of a side that may be broadcast; larger sides join by shuffle.
@@ -50,6 +50,12 @@ def free(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def id_for_python(df: DataFrame, id_col: str) -> Column:
+    """The id as it can pass through pandas: whole numbers as text, as beside nulls they would become floats."""
+    whole = df.schema[id_col].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint")
+    return F.col(id_col).cast("string") if whole else F.col(id_col)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Cut the lineage of df with a table in the shared folder.
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuscle.llm import anchors
-from corpuscle.llm.common import materialize
+from corpuscle.llm.common import id_for_python, materialize
 
 SIZE = 35
 GRAM = 10
@@ -53,7 +53,7 @@ def _digest(data: bytes) -> tuple[int, int]:
     return tuple(np.frombuffer(xxh3_128_digest(data), np.int64).tolist())
 
 
-_SCAN = "id {id}, k1 long, k2 long, n_words long, sha256 string, hs array<long>, ps array<int>"
+_SCAN = "id {id}, tk long, k1 long, k2 long, n_words long, sha256 string, hs array<long>, ps array<int>"
 _TEXT = "k1 long, k2 long, raw binary, ps array<int>"
 #: Neighbours in 32 bits: where two of them seem alike and aren't, the words at the source tell.
 _EDGES = "t long, pos int, edge long, before int, after int"
@@ -163,22 +163,22 @@ def deduplicate(
 ) -> DataFrame:
     """Per row of df: id, n_words, n_removed, n_spans, kept_sha256 [, kept: the words left, space-joined]."""
     kind = df.schema[id_col].dataType.simpleString()
-    docs = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    docs = df.select(id_for_python(df, id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("tk", F.xxhash64("text"))
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         codes = _Codes()
         for pdf in batches:
             out = []
-            for i, text in zip(pdf["id"], pdf["text"]):
+            for i, tk, text in zip(pdf["id"], pdf["tk"], pdf["text"]):
                 words = text.encode().split()
                 joined = b" ".join(words)
                 hashes = anchors.gram_hashes(_coded(words, codes), gram)
                 at, _, _ = anchors.select(hashes, size - gram + 1)
-                out.append((i, *_digest(joined), len(words), hashlib.sha256(joined).hexdigest(), hashes[at].view(np.int64), at.astype(np.int32)))
-            yield pd.DataFrame(out, columns=["id", "k1", "k2", "n_words", "sha256", "hs", "ps"])
+                out.append((i, tk, *_digest(joined), len(words), hashlib.sha256(joined).hexdigest(), hashes[at].view(np.int64), at.astype(np.int32)))
+            yield pd.DataFrame(out, columns=["id", "tk", "k1", "k2", "n_words", "sha256", "hs", "ps"])
 
-    rows = materialize(docs.mapInPandas(scan, _SCAN.format(id=kind)))
-    copies = rows.groupBy("k1", "k2").agg(F.count("*").alias("copies"), F.min("id").alias("id"))
+    rows = materialize(docs.mapInPandas(scan, _SCAN.format(id=docs.schema["id"].dataType.simpleString())))
+    copies = rows.groupBy("k1", "k2").agg(F.count("*").alias("copies"), F.min(F.struct("id", "tk")).alias("one"))
     every = rows.select("k1", F.explode(F.arrays_zip("hs", "ps")).alias("a")).select("k1", F.col("a.hs").alias("h"), F.col("a.ps").alias("p"))
     twice = (
         every.groupBy("h")
@@ -186,7 +186,7 @@ def deduplicate(
         .filter("a <> b or c <> d").select("h")
     )
     places = every.join(twice, "h", "left_semi").groupBy("k1").agg(F.collect_set("p").alias("ps"))
-    chosen = copies.join(places, "k1").select("k1", "k2", "id", "ps")
+    chosen = copies.join(places, "k1").select("k1", "k2", "one.id", "one.tk", "ps")
 
     def join_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -198,7 +198,7 @@ def deduplicate(
             yield pd.DataFrame(out, columns=["k1", "k2", "raw", "ps"])
 
     # one row a text: identical rows would meet themselves
-    texts = docs.join(chosen, docs["id"].eqNullSafe(chosen["id"])).select("text", "k1", "k2", "ps").mapInPandas(join_words, _TEXT)
+    texts = docs.join(chosen, docs["id"].eqNullSafe(chosen["id"]) & (docs["tk"] == chosen["tk"])).select("text", "k1", "k2", "ps").mapInPandas(join_words, _TEXT)
     # the number is in the table, so it stays what it is
     texts = materialize(texts.dropDuplicates(["k1", "k2"]).withColumn("t", F.monotonically_increasing_id()))
     occurs = materialize(texts.select("t", "raw", "ps").mapInPandas(_edges(size, gram), _EDGES))
@@ -225,7 +225,7 @@ def deduplicate(
     gone = F.coalesce("copied", F.lit(False)) & (F.col("n_words") >= size)
     empty = hashlib.sha256(b"").hexdigest()
     return both.select(
-        F.col("id").alias(id_col),
+        F.col("id").cast(kind).alias(id_col),
         "n_words",
         F.when(gone, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
         F.when(gone, F.lit(1)).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),

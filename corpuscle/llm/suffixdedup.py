@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuscle.llm import anchors
-from corpuscle.llm.common import materialize
+from corpuscle.llm.common import id_for_python, materialize
 
 LENGTH = 400
 GRAM = 64
@@ -137,7 +137,7 @@ def _anchors(raw: bytes, length: int, gram: int) -> tuple[np.ndarray, ...]:
     return hashes[at].view(np.int64) if len(at) else np.empty(0, np.int64), at, first, last
 
 
-_SCAN = "id {id}, k1 long, k2 long, n_bytes long, sha256 string, hs array<long>, ps array<int>"
+_SCAN = "id {id}, tk long, k1 long, k2 long, n_bytes long, sha256 string, hs array<long>, ps array<int>"
 _CANDIDATE = "k1 long, k2 long, raw binary, contexts array<struct<h:long,d1:long,d2:long,first:int,last:int>>"
 
 
@@ -152,19 +152,19 @@ def deduplicate(
 ) -> DataFrame:
     """Per row of df: id, n_bytes, n_removed, n_spans, kept_sha256 [, kept: the bytes left]."""
     kind = df.schema[id_col].dataType.simpleString()
-    docs = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    docs = df.select(id_for_python(df, id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("tk", F.xxhash64("text"))
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for i, text in zip(pdf["id"], pdf["text"]):
+            for i, tk, text in zip(pdf["id"], pdf["tk"], pdf["text"]):
                 raw = text.encode()
                 h, at, _, _ = _anchors(raw, length, gram)
-                out.append((i, *_digest(raw), len(raw), hashlib.sha256(raw).hexdigest(), h, at.astype(np.int32)))
-            yield pd.DataFrame(out, columns=["id", "k1", "k2", "n_bytes", "sha256", "hs", "ps"])
+                out.append((i, tk, *_digest(raw), len(raw), hashlib.sha256(raw).hexdigest(), h, at.astype(np.int32)))
+            yield pd.DataFrame(out, columns=["id", "tk", "k1", "k2", "n_bytes", "sha256", "hs", "ps"])
 
-    rows = materialize(docs.mapInPandas(scan, _SCAN.format(id=kind)))
-    texts = rows.groupBy("k1", "k2").agg(F.count("*").alias("copies"), F.min("id").alias("id"))
+    rows = materialize(docs.mapInPandas(scan, _SCAN.format(id=docs.schema["id"].dataType.simpleString())))
+    texts = rows.groupBy("k1", "k2").agg(F.count("*").alias("copies"), F.min(F.struct("id", "tk")).alias("one"))
     every = rows.select("k1", F.explode(F.arrays_zip("hs", "ps")).alias("a")).select("k1", F.col("a.hs").alias("h"), F.col("a.ps").alias("p"))
     twice = (
         every.groupBy("h")
@@ -172,7 +172,7 @@ def deduplicate(
         .filter("a <> b or c <> d").select("h")
     )
     places = every.join(twice, "h", "left_semi").groupBy("k1").agg(F.collect_set("p").alias("ps"))
-    chosen = texts.join(places, "k1").select("k1", "k2", "id", "ps")
+    chosen = texts.join(places, "k1").select("k1", "k2", "one.id", "one.tk", "ps")
 
     def contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -189,7 +189,7 @@ def deduplicate(
                 out.append((k1, k2, raw, got))
             yield pd.DataFrame(out, columns=["k1", "k2", "raw", "contexts"])
 
-    same_id = docs["id"].eqNullSafe(chosen["id"])
+    same_id = docs["id"].eqNullSafe(chosen["id"]) & (docs["tk"] == chosen["tk"])
     candidates = materialize(
         docs.join(chosen, same_id).select("text", "k1", "k2", "ps").mapInPandas(contexts, _CANDIDATE)
     )
@@ -276,7 +276,7 @@ def deduplicate(
     both = rows.select("id", "k1", "k2", "n_bytes", "sha256").join(copied, ["k1", "k2"], "left").join(cuts, ["k1", "k2"], "left")
     gone = F.coalesce("copied", F.lit(False)) & (F.col("n_bytes") >= length)
     out = both.select(
-        F.col("id").alias(id_col),
+        F.col("id").cast(kind).alias(id_col),
         "n_bytes",
         F.when(gone, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
         F.when(gone, F.lit(1)).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
