@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuscle.llm.common import free, materialize, small
+from corpuscle.llm.common import free, id_for_python, materialize, small
 
 #: Most rules of an index that goes to every executor.
 BROADCAST_RULES = 50_000
@@ -185,6 +185,8 @@ def judge(
     names = ["host", "path", "rule", "verdict", "pattern", "tried"]
     wanted = names if with_tried else names[:-1]
     kind = df.schema[key_col].dataType.simpleString()
+    rows = df.select(id_for_python(df, key_col).alias("key"), F.col(url_col).alias("url"))
+    back = lambda found: found.withColumn(key_col, F.col(key_col).cast(kind))
     keyed = table.filter("key is not null")
     rule_cols = [c.split()[0] for c in _RULE.split(", ")]
     index: dict[str, list[Rule]] | None = None
@@ -214,10 +216,9 @@ def judge(
             got.insert(0, key_col, pdf["key"].to_numpy())
             yield got[[key_col, *wanted]]
 
-    schema = f"`{key_col}` {kind}, host string, path string, rule string, verdict string, pattern string" + (", tried int" if with_tried else "")
-    rows = df.select(F.col(key_col).alias("key"), F.col(url_col).alias("url"))
+    schema = f"`{key_col}` {rows.schema['key'].dataType.simpleString()}, host string, path string, rule string, verdict string, pattern string" + (", tried int" if with_tried else "")
     if index is not None:
-        return rows.mapInPandas(run, schema)
+        return back(rows.mapInPandas(run, schema))
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -236,7 +237,7 @@ def judge(
         F.count("*").cast("int").alias("tried"), best(is_host, -F.length("text")).alias("host"), best(~is_host, (F.col("action") != "block").cast("int")).alias("pattern")
     )
     both = rows.join(found.select("url", F.struct("tried", "host", "pattern").alias("found")), "url", "left")
-    return both.select("key", "url", "found").mapInPandas(run, schema)
+    return back(both.select("key", "url", "found").mapInPandas(run, schema))
 
 
 def keep_allowed(df: DataFrame, url_col: str = "url", **options) -> DataFrame:
