@@ -69,7 +69,7 @@ EXTRA = ("en", None, 5, "mine", "own", "k", "n", "s", "e", "key", "h", "n")
 
 
 def odd(spark, rows):
-    return spark.createDataFrame([(i, t, *EXTRA) for i, t in rows], SCHEMA)
+    return spark.createDataFrame([(i, t, *EXTRA) for i, t in rows], SCHEMA).coalesce(1)
 
 
 def bench(spark):
