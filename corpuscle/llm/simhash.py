@@ -6,10 +6,12 @@ whole space, so some v is orthogonal to all of them: every pair within the radiu
 
 Only different fingerprints enter the tables. A bucket of two is compared by a column expression;
 larger ones in blocks of bounded size, from which a spanning forest of links comes out, never all
-pairs.
+pairs. A bucket of very many fingerprints is parted by the tables of other masks before.
 
 Edge cases: null or empty texts have no words and the fingerprint zero, linked like any other;
-repeated rows each get their row; null ids are ignored as representatives.
+repeated rows each get their row; null ids are ignored as representatives (a class of null ids alone has
+no component_id); an empty table gives an empty table; other columns aren't read, and keep_one() keeps
+them. keep_one() takes different texts of one id for different documents.
 """
 
 from __future__ import annotations
@@ -21,12 +23,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuscle.llm.common import components, materialize
+from corpuscle.llm.common import components, free, materialize, small
 
 SHINGLE = 4
 RADIUS = 4
 #: Most fingerprints of one bucket that a task compares with one another.
 BLOCK = 2048
+#: Blocks of one bucket beyond which further masks part it.
+BLOCKS = 16
 
 
 def fingerprints(texts: pd.Series, shingle: int = SHINGLE) -> np.ndarray:
@@ -56,10 +60,10 @@ def fingerprints(texts: pd.Series, shingle: int = SHINGLE) -> np.ndarray:
     return out.view(np.int64)
 
 
-def masks(radius: int = RADIUS, bits: int = 64) -> list[int]:
+def masks(radius: int = RADIUS, bits: int = 64, seed: int = 7) -> list[int]:
     """The signed bit masks of the 2**(radius+1) - 1 tables."""
     size = 2 ** (radius + 1) - 1
-    vectors = np.random.default_rng(7).permutation(np.resize(np.arange(1, size + 1), bits))
+    vectors = np.random.default_rng(seed).permutation(np.resize(np.arange(1, size + 1), bits))
     found = []
     for v in range(1, size + 1):
         m = sum(1 << i for i, x in enumerate(vectors) if bin(int(x) & v).count("1") % 2)
@@ -82,29 +86,40 @@ def _forest(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     return fps[own], fps[label[own]]
 
 
-def links(fps: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
+def _tables(radius: int, seed: int):
+    """An entry (v, bucket) for each table."""
+    return F.array(*[F.struct(F.lit(v).alias("v"), F.col("fp").bitwiseAND(F.lit(m)).alias("bucket")) for v, m in enumerate(masks(radius, seed=seed))])
+
+
+def links(fps: DataFrame, radius: int = RADIUS, block: int = BLOCK, blocks: int = BLOCKS) -> DataFrame:
     """(src, dst): links that connect exactly the fingerprints (column fp) that are connected
     through pairs of at most `radius` differing bits."""
-    tables = F.array(
-        *[F.struct(F.lit(v).alias("v"), F.col("fp").bitwiseAND(F.lit(m)).alias("bucket")) for v, m in enumerate(masks(radius))]
-    )
-    keys = fps.select("fp", F.explode(tables).alias("k")).select("fp", "k.v", "k.bucket")
+    keys = fps.select("fp", F.explode(_tables(radius, 7)).alias("k")).select("fp", "k.v", "k.bucket")
     sizes = materialize(
         keys.groupBy("v", "bucket").agg(F.count("*").alias("n"), F.min("fp").alias("src"), F.max("fp").alias("dst")).filter("n > 1")
     )
     pairs = sizes.filter(F.col("n") == 2).filter(F.bit_count(F.col("src").bitwiseXOR(F.col("dst"))) <= radius)
-    big = sizes.filter("n > 2").select("v", "bucket", F.ceil(F.col("n") / block).cast("int").alias("salts"))
-    # A bucket above the block size is compared block against block.
+    most = block * blocks
+    big = sizes.filter((F.col("n") > 2) & (F.col("n") <= most)).select("v", "bucket", F.ceil(F.col("n") / block).cast("int").alias("salts"))
+    plain = keys.join(big, ["v", "bucket"]).select("v", "bucket", F.lit(-1).alias("w"), F.lit(0).cast("long").alias("inner"), "salts", "fp")
+    # A bucket of very many is parted by the tables of other masks first.
+    hot = sizes.filter(F.col("n") > most).select("v", "bucket")
+    if hot.limit(1).count():
+        again = keys.join(hot, ["v", "bucket"]).select("v", "bucket", "fp", F.explode(_tables(radius, 11)).alias("k"))
+        again = materialize(again.select("v", "bucket", F.col("k.v").alias("w"), F.col("k.bucket").alias("inner"), "fp"))
+        parts = again.groupBy("v", "bucket", "w", "inner").agg(F.count("*").alias("n")).filter("n > 1")
+        parts = parts.select("v", "bucket", "w", "inner", F.ceil(F.col("n") / block).cast("int").alias("salts"))
+        plain = plain.unionByName(again.join(parts, ["v", "bucket", "w", "inner"]).select("v", "bucket", "w", "inner", "salts", "fp"))
+    # What is above the block size is compared block against block.
     salt = F.pmod(F.xxhash64("fp"), F.col("salts")).cast("int")
+    group = ["v", "bucket", "w", "inner", "a", "b"]
     placed = (
-        keys.join(big, ["v", "bucket"])
-        .withColumn("s", salt)
+        plain.withColumn("s", salt)
         .withColumn("t", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-        .select("v", "bucket", F.least("s", "t").alias("a"), F.greatest("s", "t").alias("b"), "fp")
-        .repartition("v", "bucket", "a", "b")
-        .sortWithinPartitions("v", "bucket", "a", "b")
+        .select("v", "bucket", "w", "inner", F.least("s", "t").alias("a"), F.greatest("s", "t").alias("b"), "fp")
+        .repartition(*group)
+        .sortWithinPartitions(*group)
     )
-    group = ["v", "bucket", "a", "b"]
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest = None
@@ -142,10 +157,30 @@ def near_duplicates(
 
 
 def keep_one(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", **options) -> DataFrame:
-    """One row of df for each class of near-duplicates: the one with the smallest id.
+    """One row of df for each class of near-duplicates: that with the smallest id (see least_of_classes)."""
+    keyed, node = with_node(df, text_col, id_col)
+    edges = near_duplicates(keyed, text_col, node, **options).select(F.col(node).alias("src"), F.col("component_id").alias("dst"))
+    return least_of_classes(keyed, node, id_col, edges.filter("src <> dst")).select(*df.columns)
+
+
+def with_node(df: DataFrame, text_col: str, id_col: str) -> tuple[DataFrame, str]:
+    """df with a 64-bit hash of id and text, and that column's name: different texts of one id, and rows
+    without an id, are nodes of their own."""
+    (node,) = free(df, "node")
+    return df.withColumn(node, F.xxhash64(F.struct(F.col(id_col)), F.col(text_col), F.lit(17))), node
+
+
+def least_of_classes(keyed: DataFrame, node: str, id_col: str, edges: DataFrame) -> DataFrame:
+    """The rows of keyed but for those that a link (src, dst) of nodes binds to a row with a smaller id.
 
-    Repeated rows with that id stay all but one; rows with a null id are kept.
+    Null ids come last; of rows alike in id and text one stays.
     """
-    ids = near_duplicates(df, text_col, id_col, **options).select("component_id").distinct()
-    kept = df.join(ids.select(F.col("component_id").alias("_keep")), F.col(id_col) == F.col("_keep"), "left_semi")
-    return kept.dropDuplicates([id_col]).unionByName(df.filter(F.col(id_col).isNull()))
+    found = components(edges)
+    ids = keyed.select(F.col(node).alias("node"), F.col(id_col).alias("id")).join(found, "node")
+    rank = F.struct(F.col("id").isNull(), F.col("id"), F.col("node"))
+    first = ids.groupBy("root").agg(F.min(rank).alias("first"))
+    rest = found.join(first, "root").filter(F.col("node") != F.col("first.node")).select(F.col("node").alias(node))
+    kept = keyed.join(small(rest), node, "left_anti")
+    # only rows that repeat are shuffled
+    twice = small(materialize(keyed.groupBy(node).agg(F.count("*").alias("n")).filter("n > 1").select(node)))
+    return kept.join(twice, node, "left_anti").unionByName(kept.join(twice, node, "left_semi").dropDuplicates([node]))
