@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuscle.llm.common import free
+from corpuscle.llm.common import free, trim
 
 CHUNK_CHARS = 1_024
 OVERLAP_CHARS = 64
@@ -80,6 +80,7 @@ def _chunks(batches, chunk: int, overlap: int) -> Iterator[pd.DataFrame]:
             for i, start in enumerate(range(0, len(text), chunk)):
                 end = start + chunk + overlap
                 yield pd.DataFrame({"k": [k], "i": [i], "ends": [end >= len(text)], "part": [text[start:end]]})
+    trim()
 
 
 def marks(part: str, start: int, ends: bool, pattern: str, chunk: int, overlap: int) -> tuple[list[int], list[int]]:
@@ -140,6 +141,7 @@ def _piece_rows(long: DataFrame, pattern: str, chunk: int, overlap: int) -> Data
         for pdf in batches:
             got = [marks(part, i * chunk, ends, pattern, chunk, overlap) for i, ends, part in zip(pdf["i"], pdf["ends"], pdf["part"])]
             yield pd.DataFrame({"k": pdf["k"], "i": pdf["i"], "head": [h for h, _ in got], "tail": [t for _, t in got]})
+        trim()
 
     marked = spread.repartition("k", "i").mapInPandas(mark, "k string, i long, head array<long>, tail array<long>")
     parts = marked.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("i", "head", "tail"))).alias("parts"))
@@ -150,6 +152,7 @@ def _piece_rows(long: DataFrame, pattern: str, chunk: int, overlap: int) -> Data
                 cuts = cut_points(text, [list(p["head"]) for p in got], [list(p["tail"]) for p in got], pattern, chunk, overlap)
                 for n, (a, b) in enumerate(zip(cuts, cuts[1:])):
                     yield pd.DataFrame({"k": [k], "piece": [n], "text": [text[a:b]]})
+        trim()
 
     return long.join(parts, "k").select("k", "text", "parts").mapInPandas(cut, "k string, piece long, text string")
 
@@ -176,13 +179,13 @@ def encode(
     fields = DIGESTS if digests_only else "ids array<int>"
 
     @F.pandas_udf(f"struct<{', '.join(f.replace(' ', ':') for f in fields.split(', '))}>")
-    def whole(texts: pd.Series) -> pd.DataFrame:
+    def whole(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         enc = _encoding(path, pat)
         one = enc._core_bpe.encode_ordinary
-        ids = ([i for piece in pieces(t or "", pat, chunk_chars, overlap_chars) for i in one(piece)] for t in texts)
-        if digests_only:
-            return pd.DataFrame([_summary(enc, x) for x in ids], columns=added)
-        return pd.DataFrame({"ids": list(ids)})
+        for texts in batches:
+            ids = ([i for piece in pieces(t or "", pat, chunk_chars, overlap_chars) for i in one(piece)] for t in texts)
+            yield pd.DataFrame([_summary(enc, x) for x in ids], columns=added) if digests_only else pd.DataFrame({"ids": list(ids)})
+        trim()
 
     is_long = F.coalesce(F.length(text_col) > long_chars, F.lit(False))
     out, key = free(df, "e", "k")
@@ -195,6 +198,7 @@ def encode(
         for pdf in batches:
             ids = [_pack(enc._core_bpe.encode_ordinary(t)) for t in pdf["text"]]
             yield pd.DataFrame({"k": pdf["k"], "piece": pdf["piece"], "ids": ids})
+        trim()
 
     done = (
         _piece_rows(long, pat, long_chars, max(overlap_chars, min(OVERLAP_CHARS * 16, long_chars // 4)))

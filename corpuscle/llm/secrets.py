@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from corpuscle.llm import forest
 from corpuscle.llm.bpe import default_tokenizer
+from corpuscle.llm.common import trim
 
 CONTEXT = 48
 THRESHOLD = 0.5
@@ -264,14 +265,16 @@ def redact(df: DataFrame, model: forest.Forest | None = None, text_col: str = "t
     sent = df.sparkSession.sparkContext.broadcast(model or train())
 
     @F.pandas_udf("string")
-    def run(texts: pd.Series, paths: pd.Series) -> pd.Series:
-        out = []
-        for t, q in zip(texts, paths):
-            if t:
-                for a, b, _, p in reversed(_judged(t, q or "", sent.value)):
-                    if p >= THRESHOLD:
-                        t = t[:a] + mask + t[b:]
-            out.append(t)
-        return pd.Series(out, dtype=object)
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for texts, paths in batches:
+            out = []
+            for t, q in zip(texts, paths):
+                if t:
+                    for a, b, _, p in reversed(_judged(t, q or "", sent.value)):
+                        if p >= THRESHOLD:
+                            t = t[:a] + mask + t[b:]
+                out.append(t)
+            yield pd.Series(out, dtype=object)
+        trim()
 
     return df.withColumn(text_col, run(F.col(text_col), F.col(path_col).cast("string")))

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuscle.llm import anchors, simhash
-from corpuscle.llm.common import components, materialize, small
+from corpuscle.llm.common import components, materialize, small, trim
 
 SHINGLE = 5
 #: Least similarity of a near copy, in twentieths.
@@ -60,6 +60,11 @@ class _Codes(dict):
 _codes = _Codes()
 
 
+def _forget() -> None:
+    _codes.clear()
+    trim()
+
+
 def hashes(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
     """Sorted different hashes of the text's shingles, from the XXH64 of their words."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
@@ -222,6 +227,8 @@ def _links_of_hubs(batches: Iterator[pd.DataFrame], group: list[str], shingle: i
                 sets.append(hashes(text, shingle))
     if len(names) > 1:
         yield settle()
+    names, sets = [], []
+    _forget()
 
 
 def links(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", shingle: int = SHINGLE, twentieths: int = TWENTIETHS) -> DataFrame:
@@ -232,6 +239,7 @@ def links(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", shingle
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in (b.iloc[at : at + ROWS] for b in batches for at in range(0, len(b), ROWS)):
             yield pd.DataFrame({"h": np.concatenate([np.empty(0, np.int64), *(hashes(t, shingle) for t in pdf["text"])])})
+        _forget()
 
     total = max(texts.count(), 1)
     part = texts.filter(F.pmod(F.xxhash64("text"), F.lit(total)) < SAMPLE).select("text").distinct()
@@ -245,6 +253,7 @@ def links(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", shingle
                 "id": pdf["id"], "key": [sha256(h.tobytes()).digest()[:16] for h in sets], "size": [len(h) for h in sets],
                 "counts": [overlap_counts(h) for h in sets], "first": [prefix(h, common, twentieths) for h in sets],
             })
+        _forget()
 
     rows = texts.mapInPandas(prefixes, "id long, key binary, size int, counts binary, first array<long>").filter("size > 0")
     # numbers that compress better than ids

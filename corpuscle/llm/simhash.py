@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuscle.llm.common import components, free, materialize, small
+from corpuscle.llm.common import components, free, materialize, small, trim
 
 SHINGLE = 4
 RADIUS = 4
@@ -146,7 +146,13 @@ def near_duplicates(
     df: DataFrame, text_col: str = "text", id_col: str = "doc_id", radius: int = RADIUS, shingle: int = SHINGLE
 ) -> DataFrame:
     """Per row of df: its id, fp (the fingerprint as a signed long) and component_id."""
-    fingerprint = F.pandas_udf(lambda s: pd.Series(fingerprints(s, shingle)), "long")
+
+    @F.pandas_udf("long")
+    def fingerprint(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series(fingerprints(texts, shingle))
+        trim()
+
     rows = materialize(df.select(F.col(id_col), fingerprint(F.col(text_col)).alias("fp")))
     least = materialize(rows.groupBy("fp").agg(F.min(id_col).alias("least")))
     found = components(links(least.select("fp"), radius))

@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 from zlib import crc32
 
@@ -25,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuscle.llm.common import free
+from corpuscle.llm.common import free, trim
 
 #: Most labelled rows that a model is fitted on; more are thinned evenly by a hash of their id.
 MAX_ROWS = 6_000
@@ -211,14 +212,17 @@ def _judged(df: DataFrame, model: ToxicityModel, text_col: str, out: str) -> Dat
     sent = df.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("struct<score:double,offending:array<int>>")
-    def run(texts: pd.Series) -> pd.DataFrame:
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         scorer = Scorer(sent.value)
-        scores, bad = [], []
-        for t in texts:
-            z = np.array(scorer.sentence_scores(t))
-            scores.append(float(-np.expm1(-_softplus(z).sum())))
-            bad.append([int(i) for i in np.flatnonzero(z >= 0)])
-        return pd.DataFrame({"score": scores, "offending": bad})
+        for texts in batches:
+            scores, bad = [], []
+            for t in texts:
+                z = np.array(scorer.sentence_scores(t))
+                scores.append(float(-np.expm1(-_softplus(z).sum())))
+                bad.append([int(i) for i in np.flatnonzero(z >= 0)])
+            yield pd.DataFrame({"score": scores, "offending": bad})
+        del scorer
+        trim()
 
     return df.withColumn(out, run(F.col(text_col)))
 
