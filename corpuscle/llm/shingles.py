@@ -2,8 +2,10 @@
 
 Under any one order of all shingles, two sets of similarity t or more share a shingle among the first
 |x| - ceil(t |x|) + 1 of each. So only these prefixes are shuffled; sizes and places in the prefix rule
-out most pairs, counts of the shingles by hash (an upper bound of the overlap) most others, and the rest
-are compared whole. The order is by hash with the shingles that are common in a sample last: it decides
+out most pairs. Sets that must overlap by o share k among the first |x| - o + k of each, so pairs that have
+fewer in common are ruled out by counting: chance meetings in one shingle grow with the square of the
+texts. Counts of the shingles by hash (an upper bound of the overlap) rule out most others, and the rest are
+compared whole. The order is by hash with the shingles that are common in a sample last: it decides
 the cost alone, never the result.
 
 Classes are wanted, not pairs: first each text meets the one before it and the first one of each shingle
@@ -41,6 +43,8 @@ ROWS = 1_000
 PAIRS = 100_000
 #: Buckets in which a text's shingles are counted.
 BUCKETS = 512
+#: Shingles that a candidate pair must share in somewhat longer prefixes, where its sizes allow so many.
+SHARED = 6
 #: Shingles of the texts that one task compares with one another.
 HUB_SHINGLES = 2_000_000
 
@@ -104,17 +108,26 @@ def _may(size_a, pos_a, size_b, pos_b, twentieths: int):
     return (size_b * twentieths <= 20 * size_a) & (most * (20 + twentieths) >= twentieths * (size_a + size_b))
 
 
-def group_pairs(n: np.ndarray, size: np.ndarray, pos: np.ndarray, root: np.ndarray, twentieths: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of the rows of one shingle, in order of size, that are of different classes and may be near copies."""
+def least_shared(size_a, size_b, twentieths: int):
+    """(overlap, k) of sizes size_a <= size_b: the overlap of near copies, and how many shingles they share
+    at least among the first |x| - overlap + k of each; the prefixes hold as many."""
+    overlap = -(-twentieths * (size_a + size_b) // (20 + twentieths))
+    return overlap, np.clip(overlap - -(-twentieths * size_b // 20) + 1, 1, SHARED)
+
+
+def group_pairs(n: np.ndarray, size: np.ndarray, pos: np.ndarray, root: np.ndarray, twentieths: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(a, b, k): pairs of the rows of one shingle, in order of size, that are of different classes and may be
+    near copies if they share k such shingles."""
     for i in range(len(n) - 1):
         if root[i] == root[-1] and (root[i:] == root[i]).all():
             continue
         end = i + 1 + int(np.searchsorted(size[i + 1 :], 20 * size[i] // twentieths, "right"))
         rest = slice(i + 1, end)
-        ok = (root[rest] != root[i]) & _may(size[i], pos[i], size[rest], pos[rest], twentieths)
+        overlap, k = least_shared(size[i], size[rest], twentieths)
+        ok = (root[rest] != root[i]) & (np.minimum(size[i] - pos[i], size[rest] - pos[rest]) + k > overlap)
         if ok.any():
             other = n[rest][ok]
-            yield np.minimum(other, n[i]), np.maximum(other, n[i])
+            yield np.minimum(other, n[i]), np.maximum(other, n[i]), k[ok]
 
 
 def by_shingle(rows: DataFrame, settle, schema: str) -> DataFrame:
@@ -170,14 +183,19 @@ def candidates(shared: DataFrame, roots: DataFrame, twentieths: int) -> DataFram
                 found.append(pair)
                 held += len(pair[0])
                 if held >= PAIRS:
-                    yield pd.DataFrame({"a": np.concatenate([x for x, _ in found]), "b": np.concatenate([y for _, y in found])}).drop_duplicates()
+                    yield counted(found)
                     found, held = [], 0
         if found:
-            yield pd.DataFrame({"a": np.concatenate([x for x, _ in found]), "b": np.concatenate([y for _, y in found])}).drop_duplicates()
+            yield counted(found)
+
+    def counted(found: list) -> pd.DataFrame:
+        a, b, k = (np.concatenate(x) for x in zip(*found))
+        return pd.DataFrame({"a": a, "b": b, "k": k.astype(np.int32)}).groupby(["a", "b", "k"], as_index=False).agg(c=("k", "size"))
 
     known = small(roots.select(F.col("node").alias("n"), "root"))
     rows = shared.select("h", "n", "size", "pos").join(known, "n", "left").withColumn("root", F.coalesce("root", "n"))
-    return by_shingle(rows, settle, "a long, b long").distinct()
+    pairs = by_shingle(rows, settle, "a long, b long, k int, c int")
+    return pairs.groupBy("a", "b").agg(F.sum("c").alias("c"), F.max("k").alias("k")).filter("c >= k").select("a", "b")
 
 
 def group_links(sets: list[np.ndarray], twentieths: int) -> list[tuple[int, int]]:
