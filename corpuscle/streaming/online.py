@@ -31,8 +31,8 @@ def windowed_counts(stream: DataFrame, time_col: str, term_col: str, window: str
 
 def windowed_terms(stream: DataFrame, time_col: str, text_col: str, targets: list[str], window: str = "1 day", late: str = "1 hour", confidence: float = 0.95) -> DataFrame:
     """The trajectory of targets over a stream of documents, with Wilson's intervals."""
-    stream = _timed(stream, time_col)
-    tokens = tokenize(F.col(text_col))
+    stream = _timed(stream, time_col).select(time_col, tokenize(F.col(text_col)).alias("tokens"))
+    tokens = F.col("tokens")
     hits = [F.sum(F.size(positions(tokens, t)).cast("long")).alias(f"h{i}") for i, t in enumerate(targets)]
     sums = stream.withWatermark(time_col, late).groupBy(F.window(time_col, window).alias("w")).agg(F.sum(F.size(tokens).cast("long")).alias("total"), *hits)
     pairs = F.array(*[F.struct(F.lit(t).alias("term"), F.col(f"h{i}").alias("count")) for i, t in enumerate(targets)])
